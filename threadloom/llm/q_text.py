@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat
+from . import bpe, chat, html_text, warc
 from .common import table
 
 #: A conversation whose texts are control strings, added to every run.
@@ -45,5 +45,25 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op3_byte_bpe": op3_byte_bpe}
-SQL = {"op1_chat_formatting": OP1_SQL}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_LETTERS = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[{g * 5 + 1}:{g * 5 + 5}])::INT >> {s}) & 31) + 1]" for g in range(8) for s in (15, 10, 5, 0))
+OP4_SQL = f"""
+WITH given AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM given)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest,
+  CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM sized
+"""
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op3_byte_bpe": op3_byte_bpe, "op4_warc": op4_warc, "op6_html_extraction": op6_html_extraction}
+SQL = {"op1_chat_formatting": OP1_SQL, "op4_warc": OP4_SQL}
