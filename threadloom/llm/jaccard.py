@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-LADDER, SPLITS = 1.5, 6
+LADDER, SPLITS = 1.5, 8
 #: Rows of a side of a unit, rows of a task of units, fan-out and leaf size of a tree.
 UNIT, TASK_ROWS, FAN, LEAF = 256, 2048, 4, 16
 REMEMBERED = 500_000
@@ -86,14 +86,17 @@ def parts_for(n: int, num: int, den: int) -> int:
     d = n * (den - num) // num
     if d == 0:
         return 0
-    step = 0
-    while True:
-        k = math.ceil(LADDER**step)
-        step += 1
+    best, step, k = (math.inf, d + 1), 0, 0
+    while k <= 4 * n:
+        k, step = math.ceil(LADDER**step), step + 1
         empty = k * (1 - 1 / k) ** n if k > 1 else 0.0
         room = k - d - 1
-        if room >= 0 and (empty <= 0.1 * (room + 1) or room >= empty + 1.5 * math.sqrt(empty)):
+        if room < 0:
+            continue
+        if empty <= 0.1 * (room + 1) or room >= empty + 1.5 * math.sqrt(empty):
             return k
+        best = min(best, (empty / (room + 1), k))
+    return best[1]  # very small sets: the further splits make up for it
 
 
 @lru_cache(100_000)
