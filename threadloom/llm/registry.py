@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_jaccard, q_mixing, q_quality, q_text, q_vectors
+from . import q_jaccard, q_mixing, q_pipeline, q_quality, q_secrets, q_text, q_vectors
 
-PARTS = (q_jaccard, q_mixing, q_quality, q_text, q_vectors)
+PARTS = (q_jaccard, q_mixing, q_pipeline, q_quality, q_secrets, q_text, q_vectors)
 
 
 def queries() -> dict:
