@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import analytics, cleaning, corpus, relational, retrieval, temporal  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
     """Name to callable (spark, sf_dir) -> DataFrame."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return dict(SQL)
