@@ -9,8 +9,8 @@ Jaccard similarity of their sets is at least num / den. The join finds every lin
    split, and at the last one a key that all such sets share. k comes from a ladder, so that sets of near sizes use the same.
 2. *Stars.* Each block compares its rows with its first node only. Links make components; a block whose rows
    are all with its first node is done, which is the case of copies, however many.
-3. *Signature trees.* In the other blocks each row outside that component meets the rest of the block, in units of at
-   most ``UNIT`` rows a side. A unit builds a tree a side, whose nodes hold OR-combined token bitmaps and size ranges; a dual
+3. *Signature trees.* In the other blocks each row outside that component meets the rest of the block (blocks of one
+   first node together), in units of about ``UNIT`` rows a side. A unit builds a tree a side, whose nodes hold OR-combined token bitmaps and size ranges; a dual
    traversal drops node pairs whose maximum possible overlap is too small, and pairs already in one component.
 
 Every pair that is kept is verified on whole sets. Work and rows grow with the corpus, save in blocks of many
@@ -303,40 +303,39 @@ def with_root(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFra
     return df.join(named, column, "left").withColumn(out, F.coalesce(out, column))
 
 
-def tree_links(stars: DataFrame, pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
-    """Links inside the blocks that stars left open, or None where there are none."""
-    apart = written(with_root(with_root(pairs, roots, "node", "r"), roots, "hub", "hr").where("r <> hr").select("node", "hub"), "apart")
-    if apart.isEmpty():
+def tree_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
+    """Links that stars left open, or None where there are none.
+
+    A hub's blocks are taken together: each of its nodes outside its component meets all its nodes."""
+    rooted = with_root(with_root(pairs, roots, "node", "root"), roots, "hub", "__h").withColumn("apart", F.col("root") != F.col("__h"))
+    hubs = rooted.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("n > 1 and m > 0")
+    sized = hubs.select("hub", F.ceil(F.col("n") / UNIT).cast("int").alias("nb"), F.ceil(F.col("m") / UNIT).cast("int").alias("na"))
+    rows = written(rooted.join(sized, "hub").select("hub", "node", "root", "apart", "na", "nb"), "open")
+    if rows.isEmpty():
         return None
-    open_ = stars.join(apart.withColumn("apart", F.lit(1)), ["node", "hub"], "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
-    size = lambda c: F.sum(c).cast("long")
-    blocks = open_.groupBy("key", "hub").agg(F.count("*").alias("n"), size("apart").alias("n_apart"), F.bit_xor(F.xxhash64("node")).alias("print"), F.bit_xor(F.when(F.col("apart") == 1, F.xxhash64("node"))).alias("print_apart"))
-    blocks = blocks.where("n > 1 and n_apart > 0").groupBy("hub", "n", "n_apart", "print", "print_apart").agg(F.min("key").alias("key"))  # blocks of the same rows once
-    blocks = written(blocks.select("key", F.ceil(F.col("n") / UNIT).cast("int").alias("nb"), F.ceil(F.col("n_apart") / UNIT).cast("int").alias("na")), "blocks")
-    rows = with_root(open_.join(blocks, "key"), roots, "node", "root").select("key", "node", "root", "apart", "na", "nb")
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("apart = 1").select("key", "node", "root", F.lit(0).alias("side"), chunk("na").alias("i"), every("nb").alias("j"))
-    right = rows.select("key", "node", "root", F.lit(1).alias("side"), every("na").alias("i"), chunk("nb").alias("j"))
+    left = rows.where("apart").select("hub", "node", "root", F.lit(0).alias("side"), chunk("na").alias("i"), every("nb").alias("j"))
+    right = rows.select("hub", "node", "root", F.lit(1).alias("side"), every("na").alias("i"), chunk("nb").alias("j"))
     units = written(left.unionByName(right), "units")
     tasks = max(1, math.ceil(units.count() / TASK_ROWS))
-    units = units.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).join(texts, "node")
+    units = units.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks)).cast("int"))
+    named = units.select(F.col("task").alias("t"), F.col("node").alias("node")).distinct()
+    held = named.join(texts, "node").select("t", "node", "text")  # a text once a task
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
-        by_unit: dict[tuple, tuple[list, list]] = {}
-        for row in table.select(["key", "i", "j", "side", "node", "root", "text"]).to_pylist():
-            node = row["node"]
-            if node not in sets:
-                s = shingles(row["text"], words)
-                if name_of(s) != node:
-                    continue
+        for node, text in zip(given.column("node").to_pylist(), given.column("text"), strict=True):
+            s = shingles(text.as_py(), words)
+            if name_of(s) == node:
                 sets[node] = s
-            by_unit.setdefault((row["key"], row["i"], row["j"]), ([], []))[row["side"]].append((node, row["root"], sets[node]))
+        by_unit: dict[tuple, tuple[list, list]] = {}
+        for hub, i, j, side, node, root in zip(*(rows.column(c).to_pylist() for c in ("hub", "i", "j", "side", "node", "root")), strict=True):
+            by_unit.setdefault((hub, i, j), ([], []))[side].append((node, root, sets[node]))
         found = [x for left, right in by_unit.values() if left and right for x in unit_links(left, right, num, den)]
         return pa.table({"node": pa.array([x[0] for x in found], pa.int64()), "hub": pa.array([x[1] for x in found], pa.int64())})
 
-    return written(units.groupBy("task").applyInArrow(run, "node long, hub long"), "tree-links")
+    return written(units.groupBy("task").cogroup(held.groupBy("t")).applyInArrow(run, "node long, hub long"), "tree-links")
 
 
 def components(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -344,14 +343,14 @@ def components(documents: DataFrame, words: int, num: int, den: int) -> DataFram
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(document_sets(docs, words), "sets")
     by_key = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = written(block_keys(docs, words, num, den).withColumn("hub", F.first("node").over(by_key)).where("node <> hub").distinct(), "stars")
+    stars = block_keys(docs, words, num, den).withColumn("hub", F.first("node").over(by_key)).where("node <> hub")
     pairs = written(stars.select("node", "hub").distinct(), "pairs")
     needed = pairs.select("node").unionAll(pairs.select(F.col("hub").alias("node"))).distinct()
     holders = sets.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
     texts = written(docs.join(holders, "doc_id").select("node", "text"), "texts")
     links = written(verified(pairs, texts, words, num, den), "links")
     roots = connected(links)
-    more = tree_links(stars, pairs, roots, texts, words, num, den)
+    more = tree_links(pairs, roots, texts, words, num, den)
     if more is not None and not more.isEmpty():
         roots = connected(links.unionByName(more))
     named = with_root(sets.where("node is not null and doc_id is not null"), roots, "node", "root")
