@@ -20,7 +20,7 @@ REPLY_MARKERS = (
 )
 SIGNATURE_MARK = r"(?im)^\s*(--\s*$|best regards\b|kind regards\b|sincerely\b|with regards\b|mit freundlichen\b|cordialement\b|atentamente\b)"
 QUOTE_VERBS = r"(?iu)\b(wrote|writes|schrieb|écrit|a écrit|escribió|scrisse|написал\w*|пишет)\b"
-SALUTATION = r"(?iu)^\s*(dear|hello|hi|good (?:morning|afternoon|evening))\b[^.!?\n]{0,60}[,!.]\s*"
+SALUTATION = r"(?iu)^\s*(dear|hello|hi|good (?:morning|afternoon|evening))\b[^.!?\n]{0,60}?[,!.]\s*"
 THANKS = r"(?iu)\b(?:thank you|many thanks|thanks)\b[^.!?\n]{0,80}[.!]\s*"
 CHANNEL_PLACEHOLDERS = {"photo": "[photo]", "voice_message": "[voice]", "video_message": "[video]", "video_file": "[video]", "audio_file": "[audio]", "animation": "[animation]"}
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
@@ -37,9 +37,18 @@ def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
     return c
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at either end, line feeds included (trim takes spaces alone)."""
+    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+
+
+def rstripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s+\z", "")
+
+
 def word_count(c: Column) -> Column:
     """Words between white space; 0 for blank texts, where a split would give one."""
-    t = F.trim(replaced(text(c), (r"\s+", " ")))
+    t = stripped(replaced(text(c), (r"\s+", " ")))
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
@@ -60,7 +69,7 @@ def html_to_text(c: Column, rich: bool = False) -> Column:
     out = unescaped(replaced(text(c), *pairs))
     if rich:
         out = replaced(out, (r"[ \t]+", " "), (r" ?\n ?", "\n"))
-    return F.trim(replaced(out, (r"\n{3,}", "\n\n")))
+    return stripped(replaced(out, (r"\n{3,}", "\n\n")))
 
 
 def first_of(c: Column, patterns: Sequence[str], beyond: int = 0) -> Column:
@@ -76,7 +85,7 @@ def cut_before(c: Column, place: Column) -> Column:
 def strip_quoted_reply(c: Column, markers: Sequence[str] = REPLY_MARKERS) -> Column:
     """The text before the earliest reply marker and before the first line that is quoted."""
     t = text(c)
-    return F.rtrim(cut_before(t, first_of(t, [*markers, r"(?m)^[ \t]*>"])))
+    return rstripped(cut_before(t, first_of(t, [*markers, r"(?m)^[ \t]*>"])))
 
 
 def quote_start(c: Column, markers: Sequence[str] = REPLY_MARKERS, signature: str = SIGNATURE_MARK, least: int = 20, window: int = 400) -> Column:
@@ -94,16 +103,16 @@ def quote_start(c: Column, markers: Sequence[str] = REPLY_MARKERS, signature: st
 def strip_quotes(c: Column, **options) -> Column:
     """struct<text, removed>: the text before its quotes without trailing dashes, and the bytes that went."""
     t = text(c)
-    kept = replaced(F.rtrim(cut_before(t, quote_start(t, **options))), (r"(\s*--+\s*)+\z", ""))
+    kept = replaced(rstripped(cut_before(t, quote_start(t, **options))), (r"(\s*--+\s*)+\z", ""))
     return F.struct(kept.alias("text"), (F.octet_length(t) - F.octet_length(kept)).alias("removed"))
 
 
 def strip_quote_tail(c: Column, verbs: str = QUOTE_VERBS, most: int = 260) -> Column:
     """Drops a last paragraph that only introduces a quote; never the whole text."""
-    t = F.rtrim(text(c))
+    t = rstripped(text(c))
     last = F.element_at(F.split(t, "\n\n"), -1)
-    intro = (F.length(last) <= most) & F.endswith(F.rtrim(last), F.lit(":")) & last.rlike(verbs) & (F.length(last) < F.length(t))
-    return F.when(intro, F.rtrim(F.substring(t, F.lit(1), F.length(t) - F.length(last)))).otherwise(t)
+    intro = (F.length(last) <= most) & F.endswith(rstripped(last), F.lit(":")) & last.rlike(verbs) & (F.length(last) < F.length(t))
+    return F.when(intro, rstripped(F.substring(t, F.lit(1), F.length(t) - F.length(last)))).otherwise(t)
 
 
 def strip_signature(c: Column, role: Column, anchor: str = SIGNATURE_MARK, address: str = r"[\w.+-]+@[\w-]+\.[\w.]+", window: int = 400, own_role: str = "manager") -> Column:
@@ -112,12 +121,12 @@ def strip_signature(c: Column, role: Column, anchor: str = SIGNATURE_MARK, addre
     pattern = anchor.replace("(?im)", "").replace("^", r"(?:^|\n)")
     whole = rf"(?is)^(.*)(?:{pattern})(?=.{{0,{window}}}?{address})(?:.{{0,{window}}}?{address})(.*)$"
     hit = (role == own_role) & t.rlike(whole)
-    return F.when(hit, F.trim(F.regexp_replace(t, whole, "$1\n$" + str(whole.count("(") - whole.count("(?")).strip()))).otherwise(t)
+    return F.when(hit, stripped(F.regexp_replace(t, whole, "$1\n$" + str(whole.count("(") - whole.count("(?")).strip()))).otherwise(t)
 
 
 def squeeze(c: Column) -> Column:
     """Blanks to one space, none at line starts, at most two line feeds, trimmed."""
-    return F.trim(replaced(text(c), (r"\r\n?", "\n"), (r"[ \t ]+", " "), (r"\n +", "\n"), (r"\n{3,}", "\n\n")))
+    return stripped(replaced(text(c), (r"\r\n?", "\n"), (r"[ \t ]+", " "), (r"\n +", "\n"), (r"\n{3,}", "\n\n")))
 
 
 def strip_quote_lines(c: Column) -> Column:
@@ -126,12 +135,12 @@ def strip_quote_lines(c: Column) -> Column:
 
 def trim_reply_chain(c: Column, mark: str = SIGNATURE_MARK) -> Column:
     t = text(c)
-    return F.trim(cut_before(t, first_of(t, [mark])))
+    return stripped(cut_before(t, first_of(t, [mark])))
 
 
 def flatten(c: Column, multiline: bool = False) -> Column:
-    t = F.trim(text(c))
-    return replaced(t, (r"[ \t]+", " "), (r"\n{3,}", "\n\n")) if multiline else F.trim(replaced(t, (r"\s+", " ")))
+    t = stripped(text(c))
+    return replaced(t, (r"[ \t]+", " "), (r"\n{3,}", "\n\n")) if multiline else stripped(replaced(t, (r"\s+", " ")))
 
 
 def incoming_text(c: Column) -> Column:
@@ -151,7 +160,7 @@ def strip_question_echo(answer: Column, question: Column) -> Column:
     """The answer without the question at its start and without a list number."""
     a, q = flatten(answer), flatten(question)
     rest = F.when((q != "") & F.startswith(F.lower(a), F.lower(q)), F.substring(a, F.length(q) + 1, F.length(a))).otherwise(a)
-    return F.trim(replaced(rest, (r"^\s*(?:\d{1,2}[.)]\s+|[-–:]\s*)", "")))
+    return stripped(replaced(rest, (r"^\s*(?:\d{1,2}[.)]\s+|[-–:]\s*)", "")))
 
 
 def paragraphs(c: Column, least: int = 40, noise: str = r"(?i)unsubscribe|confidential|sent from my") -> Column:
@@ -170,15 +179,15 @@ def sentences(c: Column) -> Column:
 
 def sanitize_markdown(c: Column, sources: str = r"(?is)\n+\s*(?:sources|references)\s*:.*\z") -> Column:
     """Without bold, italics, headings and a trailing list of sources."""
-    return F.trim(replaced(text(c), (r"\*\*(.+?)\*\*", "$1"), (r"(?<![\w*])\*([^*\n]+)\*(?![\w*])", "$1"), (r"(?m)^#{1,6}\s*", ""), (sources, "")))
+    return stripped(replaced(text(c), (r"\*\*(.+?)\*\*", "$1"), (r"(?<![\w*])\*([^*\n]+)\*(?![\w*])", "$1"), (r"(?m)^#{1,6}\s*", ""), (sources, "")))
 
 
 def split_at(c: Column, marker: str) -> Column:
     """struct<before, after> of the marker, any case; all before where it is missing."""
     t = text(c)
     place = F.locate(marker.lower(), F.lower(t))
-    whole = F.struct(F.trim(t).alias("before"), F.lit("").alias("after"))
-    cut = F.struct(F.trim(F.substring(t, F.lit(1), place - 1)).alias("before"), F.trim(F.substring(t, place + len(marker), F.length(t))).alias("after"))
+    whole = F.struct(stripped(t).alias("before"), F.lit("").alias("after"))
+    cut = F.struct(stripped(F.substring(t, F.lit(1), place - 1)).alias("before"), stripped(F.substring(t, place + len(marker), F.length(t))).alias("after"))
     return F.when(place > 0, cut).otherwise(whole)
 
 
@@ -186,14 +195,14 @@ def letter_body(c: Column, rule: str = r"-{40,}") -> Column:
     """What stands after a rule of dashes and before quoted history."""
     t = text(c)
     parts = F.split(t, rule, 2)
-    return F.trim(strip_quotes(F.coalesce(F.get(parts, 1), t))["text"])
+    return stripped(strip_quotes(F.coalesce(F.get(parts, 1), t))["text"])
 
 
 def between(c: Column, opening: str = SALUTATION, closing: str = SIGNATURE_MARK) -> Column:
     """From a salutation to a sign-off; the whole text where either is missing."""
     t = text(c)
     begin, end = F.regexp_instr(t, F.lit(opening.replace("^", "(?m)^", 1))), F.regexp_instr(t, F.lit(closing))
-    return F.trim(F.when((begin > 0) & (end > begin), F.substring(t, begin, end - begin)).otherwise(t))
+    return stripped(F.when((begin > 0) & (end > begin), F.substring(t, begin, end - begin)).otherwise(t))
 
 
 def slug(c: Column) -> Column:
@@ -208,7 +217,7 @@ def chunk_id(path: Column, prefix: str = "file") -> Column:
 def display_subject(path: Column) -> Column:
     """A file's stem without a leading date of eight digits; underscores become spaces."""
     stem = F.regexp_replace(F.element_at(F.split(text(path), "/"), -1), r"\.[^.]*$", "")
-    return F.trim(replaced(stem, (r"^\d{8}[ _-]*", ""), (r"_+", " ")))
+    return stripped(replaced(stem, (r"^\d{8}[ _-]*", ""), (r"_+", " ")))
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -246,14 +255,14 @@ def media_placeholder(media_type: Column, photo: Column, file_name: Column, cont
 
 
 def message_body(body: Column, placeholder: Column) -> Column:
-    t = F.trim(text(body))
+    t = stripped(text(body))
     return F.coalesce(F.when(t != "", t), placeholder)
 
 
 def numbered_sections(c: Column) -> Column:
     """map<number, text> of the sections under numbered headings (## 3. Title)."""
     parts = F.filter(F.split(text(c), r"(?m)^(?=##\s+\d+\.)"), lambda p: p.rlike(r"^##\s+\d+\."))
-    entry = lambda p: F.struct(F.regexp_extract(p, r"^##\s+(\d+)\.", 1).cast("int").alias("key"), F.trim(p).alias("value"))
+    entry = lambda p: F.struct(F.regexp_extract(p, r"^##\s+(\d+)\.", 1).cast("int").alias("key"), stripped(p).alias("value"))
     return F.map_from_entries(F.transform(parts, entry))
 
 
@@ -299,7 +308,7 @@ def head_and_tail(c: Column, budget: int, marker: str = "\n[...]\n", head: float
 def text_chunks(c: Column, size: int = 4096) -> Column:
     """Pieces of at most size, cut at the last paragraph, line or space that fits."""
     pattern = rf"(?s).{{1,{size}}}(?=\n\n|\z)|.{{1,{size}}}(?=\n|\z)|.{{1,{size}}}(?=\s|\z)|.{{1,{size}}}"
-    pieces = F.transform(F.regexp_extract_all(text(c), F.lit(pattern), F.lit(0)), lambda p: F.trim(replaced(p, (r"^\n+|\n+$", ""))))
+    pieces = F.transform(F.regexp_extract_all(text(c), F.lit(pattern), F.lit(0)), lambda p: stripped(replaced(p, (r"^\n+|\n+$", ""))))
     return F.filter(pieces, lambda p: p != "")
 
 

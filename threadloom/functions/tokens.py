@@ -87,7 +87,7 @@ def looks_like_question(c: Column, noise: str = r"(?i)unsubscribe|http|www\.|@",
 
 
 def questions(c: Column) -> Column:
-    return F.filter(sentences(c), looks_like_question)
+    return F.filter(sentences(c), lambda s: looks_like_question(s))
 
 
 def relevance(question: Column, answer: Column) -> Column:

@@ -78,7 +78,7 @@ def search(points: DataFrame, queries: DataFrame, k: int, where: Column | None =
     else:
         n = 64
         q = queries.select(query_id, query_vector, F.pmod(F.xxhash64(query_id), F.lit(n)).alias("__b"))
-        pairs = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long")).join(q, "__b").drop("__b")
+        pairs = rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(q, "__b").drop("__b")
     scored = pairs.select(query_id, ident, cosine(F.col(vector), F.col(query_vector)).alias("score"))
     return top_each(scored, [query_id], k, F.col("score").desc(), ident).select(query_id, "rank", ident, "score")
 

@@ -17,7 +17,7 @@ def digest(c):
 
 
 @query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p\s*>', chr(10) || chr(10), 'g'), '(?s)<[^>]+>', '', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS text_md5 FROM pages""")
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS text_md5 FROM pages""")
 def html_to_text(t: Tables) -> DataFrame:
     """Markup to text (rows F3, F4)."""
     return t.pages.select("page_id", digest(text.html_to_text(F.col("html"))).alias("text_md5"))
@@ -30,7 +30,7 @@ def strip_quote_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(kept).alias("kept"), digest(kept).alias("text_md5"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}]+', ' ', 'g'), '\n +', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS text_md5, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS words FROM documents""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}]+', ' ', 'g'), '\n +', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS text_md5, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS words FROM documents""")
 def squeeze_whitespace(t: Tables) -> DataFrame:
     """White space normalised, words counted (rows F13, F19, N18)."""
     return t.documents.select("doc_id", digest(text.squeeze(F.col("text"))).alias("text_md5"), text.word_count(F.col("text")).cast("long").alias("words"))
