@@ -107,8 +107,8 @@ def leaf_cuts(docs: DataFrame, plan: Plan) -> DataFrame:
     inside = keyed.join(few(edge), [*LEAF, "group"]).groupBy(*LEAF, "group", "before", "left", "key").agg(F.sum("t").alias("t"))
     inside = inside.withColumn("upto", F.expr(f"before + sum(t) over (partition by {', '.join(LEAF)} order by key rows unbounded preceding)"))
     last = inside.where("upto <= left").groupBy(*LEAF).agg(F.max("key").alias("last"))
-    cuts = budgets.join(edge, list(LEAF), "left").join(last, list(LEAF), "left")
-    return written(cuts.select(*LEAF, "tokens", "budget", "whole_epochs", F.coalesce("last", "group", F.lit("g")).alias("cut")), "cuts")
+    cuts = budgets.join(edge.select(*LEAF, "group"), list(LEAF), "left").join(last, list(LEAF), "left")
+    return written(cuts.select(*LEAF, "tokens", "budget", "whole_epochs", F.when(F.col("left") <= 0, "").otherwise(F.coalesce("last", "group", F.lit("g"))).alias("cut")), "cuts")
 
 
 def few(leaves: DataFrame) -> DataFrame:
@@ -123,7 +123,6 @@ def with_copies(docs: DataFrame, plan: Plan) -> DataFrame:
     rows = with_leaf(docs, plan).withColumns({f"__{c}": F.col(f"__leaf.{c}") for c in LEAF})
     named = named.select(*[f"__{c}" for c in LEAF], F.struct("budget", "whole_epochs", "cut").alias("__plan"))
     joined = rows.join(few(named), [f"__{c}" for c in LEAF])
-    # no budget, no copies: a leaf of budget 0 has its edge at the first key with tokens, before which tokenless rows stand
     copies = F.when(F.col("__plan.budget") <= 0, 0).otherwise(F.col("__plan.whole_epochs") + (order_key(plan, F.col("__plan.whole_epochs"), F.col("doc_id")) <= F.col("__plan.cut")).cast("long"))
     leaf = F.struct(*[F.col(f"__leaf.{c}").alias(c) for c in (*LEAF, "tokens")], F.col("__plan.budget").alias("budget"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], leaf.alias("__leaf"), copies.alias("__copies"))

@@ -44,8 +44,8 @@ ordered AS (
 ), ran AS (
   SELECT *, sum(t) OVER (PARTITION BY {leaf} ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM ordered
 )
-SELECT doc_id, domain, lang, source, t AS tokens, CAST(budget AS BIGINT) AS leaf_budget, CAST(whole + (upto <= remaining)::INT AS BIGINT) AS copies
-FROM ran WHERE budget > 0 AND whole + (upto <= remaining)::INT > 0
+SELECT doc_id, domain, lang, source, t AS tokens, CAST(budget AS BIGINT) AS leaf_budget, CAST(whole + (remaining > 0 AND upto <= remaining)::INT AS BIGINT) AS copies
+FROM ran WHERE budget > 0 AND whole + (remaining > 0 AND upto <= remaining)::INT > 0
 """
 
 
