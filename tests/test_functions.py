@@ -127,3 +127,13 @@ def test_ids_and_vectors(spark):
     got = one(spark, numbers.hashed_vector(tokens.words_of(T, r"\w+"), 256), t=t)
     assert got == pytest.approx(HashingEmbedder(256).embed([t])[0])
     assert one(spark, numbers.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
+
+
+def test_nfc_and_json_search(spark):
+    from threadloom.functions import arrow
+
+    assert one(spark, arrow.nfc(T), t="é") == "é" and one(spark, arrow.nfc(T), t=None) is None
+    doc = '{"a": {"Question": "short", "list": [{"question_text": "the longest one", "x": 1}]}, "nation": "N"}'
+    assert one(spark, arrow.longest_under(T, ("question",)), t=doc) == "the longest one"
+    assert one(spark, arrow.first_under(T, ("question",)), t=doc) == "short"
+    assert one(spark, arrow.first_under(T, ("nation",)), t="not json") == "" and one(spark, arrow.first_under(T, ("z",)), t=None) == ""

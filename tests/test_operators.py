@@ -121,3 +121,21 @@ def test_cohesion_and_majority(spark):
 def test_ratio_of_texts(spark):
     df = spark.createDataFrame([("", ""), ("abc", "abc"), ("abc", "xyz")], "a string, b string")
     assert [r.ratio for r in ranking.ratios(df, "a", "b").collect()] == [1.0, 1.0, 0.0]
+
+
+def test_batches_are_reduced_until_little_is_gained(spark):
+    rows = spark.createDataFrame([(i, i % 5) for i in range(60)], "k int, v int")
+    merge = lambda df: df.groupBy("batch", "v").agg(F.min("k").alias("k")).select("batch", "k", "v")
+    got = clusters.reduced(rows, "k", 20, merge, least=5, passes=4)
+    assert sorted(r.v for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_pair_rules(spark):
+    df = spark.createDataFrame([(1, 0.4, False, 0), (1, 0.33, True, 3), (5, 0.1, False, 0), (4, 0.33, False, 3)], "shared int, s double, same boolean, d int")
+    got = df.select(clusters.pair_rule(F.col("shared"), F.col("s"), F.col("same"), F.col("d"), 0.3).alias("e"), clusters.cluster_rule(F.col("s"), F.col("same"), F.col("d"), 0.3).alias("c")).collect()
+    assert [(r.e, r.c) for r in got] == [(True, False), (True, False), (True, False), (False, False)]
+
+
+def test_split_keys(spark):
+    df = spark.createDataFrame([(1, 9, 0.1, "a", ["y", "x", "z"]), (1, 8, 0.1, "a", ["x"]), (1, 9, 0.5, "a", ["x"])], "root int, n int, c double, theme string, w array<string>")
+    assert [r.k for r in df.select(clusters.split_key(F.col("root"), F.col("n"), F.col("c"), F.col("theme"), F.col("w")).alias("k")).collect()] == ["1|a|x y", "1", "1"]

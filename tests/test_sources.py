@@ -123,3 +123,24 @@ def test_map_reduce_and_faq(spark):
     stats = plans.knowledge_base(messages, {"money": "euros"}, {"move": ("relocation",)})
     assert stats["channels"].first()["n"] == 2 and stats["totals"].first()["two_way"] == 2
     assert F is not None
+
+
+def test_other_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.3, "t"), ("b", 0.1, "u")], "k string, ratio double, text string")
+    sinks.contexts(df, "k", str(tmp_path / "x"))
+    assert spark.read.text(str(tmp_path / "x")).count() == 2
+    sinks.readable(df, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r"), wholetext=True).count() >= 1
+    sinks.lowest(df, "ratio", 1, str(tmp_path / "l"))
+    assert spark.read.csv(str(tmp_path / "l"), header=True).first()["k"] == "b"
+    sinks.daily(df, F.lit("2026-01-01"), str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 2
+    sinks.points(df.withColumn("source", F.lit("s")), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).where("source = 's'").count() == 2
+    messages = spark.createDataFrame([("t1", 1, "client", "a"), ("t1", 2, "manager", "b")], "thread string, seq int, role string, text string")
+    sinks.thread_files(messages, str(tmp_path / "t"))
+    assert "[MANAGER]" in spark.read.text(str(tmp_path / "t"), wholetext=True).first()["value"]
+    sinks.catalog_csv(spark.createDataFrame([("q", 2, ["v", "w"], "o" * 900)], "question string, frequency int, variants array<string>, question_original string"), str(tmp_path / "c"))
+    row = spark.read.csv(str(tmp_path / "c"), header=True, sep=";").first()
+    assert row["variants"] == "v | w" and len(row["question_original"]) == 800
+    assert '"n"' in sinks.stats_json({"s": spark.sql("select 1 n")})
