@@ -40,21 +40,22 @@ def token_pairs(items: DataFrame, ident: str, tokens: str, least_shared: int = 1
     return pairs.where(F.col("shared") >= least_shared)
 
 
-def similarity_edges(items: DataFrame, ident: str, tokens: str, threshold: float, prefix: bool = True) -> DataFrame:
+def similarity_edges(items: DataFrame, ident: str, tokens: str, threshold: float, common: int = 4) -> DataFrame:
     """(a, b, similarity) of a < b with Jaccard similarity of at least the threshold.
 
-    With prefix, only the rarest tokens of each item are indexed: n - ceil(threshold n) + 1 of them, of which a
-    similar pair must share one. Frequent tokens then meet nobody."""
+    Only the rarest tokens of each item are indexed: n - ceil(threshold n) + common of them, of which a similar pair shares
+    so many (all that it must share, where that is fewer). Frequent tokens then meet nobody, pairs with a rare token or two
+    in common go before any sets are moved, and what is left is verified on whole sets. Tokens are indexed by a hash of 64
+    bits; a collision can only add a pair to verify."""
     base = items.select(F.col(ident).alias("id"), F.array_distinct(tokens).alias("tokens")).where(F.size("tokens") > 0)
-    if prefix:
-        post = base.select("id", F.explode("tokens").alias("t"))
-        counted = post.join(post.groupBy("t").agg(F.count("*").alias("df")), "t")
-        ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-        post = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("id", "t", "n")
-    else:
-        post = base.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    near = (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n")) & (F.col("a") < F.col("b"))
-    cand = post.select(F.col("id").alias("a"), "n", "t").join(post.select(F.col("id").alias("b"), F.col("n").alias("m"), "t"), "t").where(near).select("a", "b").distinct()
+    post = base.select("id", F.size("tokens").alias("n"), F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("t"))
+    counted = post.join(post.groupBy("t").agg(F.count("*").alias("df")), "t")
+    must = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
+    ranked = counted.withColumns({"k": F.row_number().over(Window.partitionBy("id").orderBy("df", "t")), "must": must})
+    post = ranked.where(F.col("k") <= F.col("n") - F.col("must") + common).select("id", "t", "n", "must")
+    near = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9) & (F.col("a") < F.col("b"))
+    pairs = post.select(F.col("id").alias("a"), "n", "must", "t").join(post.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("must").alias("must_b"), "t"), "t").where(near)
+    cand = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("must", "must_b", F.lit(common))).alias("least")).where("c >= least").select("a", "b")
     left, right = base.select(F.col("id").alias("a"), F.col("tokens").alias("x")), base.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     return cand.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
