@@ -7,7 +7,7 @@ Jaccard similarity of their sets is at least num / den. The join finds every lin
    k > d parts, they agree in a part whole, so a key a part (its place and the sum of its hashes) brings them together.
    Empty parts have no key; k leaves room for them. A set with more empty parts than that also takes another
    split, and at the last one a key that all such sets share. k comes from a ladder, so that sets of near sizes use the same.
-2. *Stars.* Each block compares its rows with its first node only. Links make components; a block whose rows
+2. *Stars.* Each block compares its rows with its first node only, after sizes and token bitmaps. Links make components; a block whose rows
    are all with its first node is done, which is the case of copies, however many.
 3. *Signature trees.* In the other blocks each row outside that component meets the rest of the block (blocks of one
    first node together), in units of about ``UNIT`` rows a side. A unit builds a tree a side, whose nodes hold OR-combined token bitmaps and size ranges; a dual
@@ -39,6 +39,8 @@ LADDER, SPLITS = 1.5, 8
 #: Rows of a side of a unit, rows of a task of units, fan-out and leaf size of a tree.
 UNIT, TASK_ROWS, FAN, LEAF = 256, 2048, 4, 16
 REMEMBERED = 500_000
+#: Ids of a broadcast at most; beyond, texts are fetched by a shuffled join.
+BROADCAST_IDS = 1_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
 _S33 = np.uint64(33)
@@ -168,6 +170,27 @@ def bitmap_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flags).view(np.uint64)
 
 
+def bits_for(n: int) -> int:
+    return 1 << max(8, min(16, (4 * n - 1).bit_length()))
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same hashes in fewer bits."""
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] | bitmap[half:]
+    return bitmap
+
+
+def may_link(n: int, x: np.ndarray, m: int, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether sets of n and m elements with these bitmaps can reach the similarity: a bit that only one has is an element that only it has."""
+    size = min(len(x), len(y))
+    x, y = folded(x, size), folded(y, size)
+    shared = int(np.bitwise_count(x & y).sum())
+    most = min(n, m, shared + n - int(np.bitwise_count(x).sum()), shared + m - int(np.bitwise_count(y).sum()))
+    return most * (num + den) >= num * (n + m)
+
+
 def dual_join(left: Tree, right: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of left, rows of right) that may link, in the order of the trees' input, a leaf pair at a time."""
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
@@ -210,10 +233,23 @@ class Union:
             self.up[max(x, y)] = min(x, y)
 
 
+def unit_candidates(left: list, right: list, num: int, den: int) -> tuple[set[int], set[int]]:
+    """Places in two lists of (node, root, n, bitmap) of rows that may link to a row of another component on the other side."""
+    words = min(len(x[3]) for x in (*left, *right))
+    trees = [Tree(np.array([x[2] for x in side]), np.stack([folded(x[3], words) for x in side])) for side in (left, right)]
+    roots = [np.array([x[1] for x in side], np.int64) for side in (left, right)]
+    found: tuple[set[int], set[int]] = (set(), set())
+    for p, q in dual_join(*trees, num, den):
+        apart = roots[0][p] != roots[1][q]
+        found[0].update(p[apart].tolist())
+        found[1].update(q[apart].tolist())
+    return found
+
+
 def unit_links(left: list, right: list, num: int, den: int) -> list[tuple[int, int]]:
     """Links that join components, between two lists of (node, root, hashes)."""
     most = max(len(x[2]) for x in (*left, *right))
-    bits = 1 << max(8, min(16, (4 * most - 1).bit_length()))
+    bits = bits_for(most)
     trees = [Tree(np.array([len(x[2]) for x in side]), np.stack([bitmap_of(x[2], bits) for x in side])) for side in (left, right)]
     union, found = Union(), []
     for p, q in dual_join(*trees, num, den):
@@ -226,7 +262,7 @@ def unit_links(left: list, right: list, num: int, den: int) -> list[tuple[int, i
 
 
 def document_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node): node null for an empty set."""
+    """(doc_id, n_shingles, node, bits): node and the token bitmap are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +270,10 @@ def document_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
                 part = batch.slice(i, 512)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 nodes = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes], names=["doc_id", "n_shingles", "node"])
+                bits = pa.array([bitmap_of(s, bits_for(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes, bits], names=["doc_id", "n_shingles", "node", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary")
 
 
 def block_keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -303,10 +340,48 @@ def with_root(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFra
     return df.join(named, column, "left").withColumn(out, F.coalesce(out, column))
 
 
-def tree_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
+def possible(pairs: DataFrame, holders: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (node, hub) whose sizes and bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_link(n, np.frombuffer(x, np.uint64), m, np.frombuffer(y, np.uint64), num, den) for n, x, m, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    a = holders.select("node", F.col("n").alias("na"), F.col("bits").alias("xa"))
+    b = holders.select(F.col("node").alias("hub"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(a, "node").join(b, "hub").select("node", "hub", "na", "xa", "nb", "xb").mapInArrow(run, "node long, hub long")
+
+
+def texts_of(nodes: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, each from one document that holds its set."""
+    ids = written(holders.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return written(docs.join(ids, "doc_id").select("node", "text"), "texts")
+
+
+def _by_unit(rows: pa.Table, of: dict) -> dict[tuple, tuple[list, list]]:
+    """(hub, i, j) -> rows of either side as (node, root, *what of has of the node)."""
+    units: dict[tuple, tuple[list, list]] = {}
+    for hub, i, j, side, node, root in zip(*(rows.column(c).to_pylist() for c in ("hub", "i", "j", "side", "node", "root")), strict=True):
+        if node in of:
+            units.setdefault((hub, i, j), ([], []))[side].append((node, root, *of[node]))
+    return {k: v for k, v in units.items() if v[0] and v[1]}
+
+
+def _with_task(units: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """units with task, and held (by node) once for each task that has the node."""
+    tasks = max(1, math.ceil(units.count() / TASK_ROWS))
+    units = units.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks)).cast("int"))
+    named = units.select(F.col("task").alias("t"), F.col("node").alias("node")).distinct()
+    return units, named.join(held, "node")
+
+
+def tree_links(pairs: DataFrame, roots: DataFrame, holders: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
     """Links that stars left open, or None where there are none.
 
-    A hub's blocks are taken together: each of its nodes outside its component meets all its nodes."""
+    A hub's blocks are taken together: each of its nodes outside its component meets all its nodes. The trees work on
+    sizes and bitmaps; texts are fetched for nodes that the trees leave, which meet again, on whole sets."""
     rooted = with_root(with_root(pairs, roots, "node", "root"), roots, "hub", "__h").withColumn("apart", F.col("root") != F.col("__h"))
     hubs = rooted.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("n > 1 and m > 0")
     sized = hubs.select("hub", F.ceil(F.col("n") / UNIT).cast("int").alias("nb"), F.ceil(F.col("m") / UNIT).cast("int").alias("na"))
@@ -317,25 +392,30 @@ def tree_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("apart").select("hub", "node", "root", F.lit(0).alias("side"), chunk("na").alias("i"), every("nb").alias("j"))
     right = rows.select("hub", "node", "root", F.lit(1).alias("side"), every("na").alias("i"), chunk("nb").alias("j"))
-    units = written(left.unionByName(right), "units")
-    tasks = max(1, math.ceil(units.count() / TASK_ROWS))
-    units = units.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks)).cast("int"))
-    named = units.select(F.col("task").alias("t"), F.col("node").alias("node")).distinct()
-    held = named.join(texts, "node").select("t", "node", "text")  # a text once a task
-
-    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
-        for node, text in zip(given.column("node").to_pylist(), given.column("text"), strict=True):
-            s = shingles(text.as_py(), words)
-            if name_of(s) == node:
-                sets[node] = s
-        by_unit: dict[tuple, tuple[list, list]] = {}
-        for hub, i, j, side, node, root in zip(*(rows.column(c).to_pylist() for c in ("hub", "i", "j", "side", "node", "root")), strict=True):
-            by_unit.setdefault((hub, i, j), ([], []))[side].append((node, root, sets[node]))
-        found = [x for left, right in by_unit.values() if left and right for x in unit_links(left, right, num, den)]
+    unit = "hub long, i int, j int, side int, node long, root long"
+    kinds = pa.schema([("hub", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("root", pa.int64())])
+
+    def prune(rows: pa.Table, given: pa.Table) -> pa.Table:
+        of = {node: (n, np.frombuffer(x, np.uint64)) for node, n, x in zip(*(given.column(c).to_pylist() for c in ("node", "n", "bits")), strict=True)}
+        out = []
+        for key, sides in _by_unit(rows, of).items():
+            for side, places in enumerate(unit_candidates(*sides, num, den)):
+                out += [(*key, side, *sides[side][k][:2]) for k in sorted(places)]
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds.types, strict=True)], schema=kinds)
+
+    units, held = _with_task(written(left.unionByName(right), "units"), holders.select("node", "n", "bits"))
+    kept = written(units.groupBy("task").cogroup(held.groupBy("t")).applyInArrow(prune, unit), "kept")
+    if kept.isEmpty():
+        return None
+
+    def join(rows: pa.Table, given: pa.Table) -> pa.Table:
+        sets = {node: (shingles(text.as_py(), words),) for node, text in zip(given.column("node").to_pylist(), given.column("text"), strict=True)}
+        sets = {node: x for node, x in sets.items() if name_of(x[0]) == node}
+        found = [x for left, right in _by_unit(rows, sets).values() for x in unit_links(left, right, num, den)]
         return pa.table({"node": pa.array([x[0] for x in found], pa.int64()), "hub": pa.array([x[1] for x in found], pa.int64())})
 
-    return written(units.groupBy("task").cogroup(held.groupBy("t")).applyInArrow(run, "node long, hub long"), "tree-links")
+    units, held = _with_task(kept, texts_of(kept.select("node"), holders, docs))
+    return written(units.groupBy("task").cogroup(held.groupBy("t")).applyInArrow(join, "node long, hub long"), "tree-links")
 
 
 def components(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -346,13 +426,16 @@ def components(documents: DataFrame, words: int, num: int, den: int) -> DataFram
     stars = block_keys(docs, words, num, den).withColumn("hub", F.first("node").over(by_key)).where("node <> hub")
     pairs = written(stars.select("node", "hub").distinct(), "pairs")
     needed = pairs.select("node").unionAll(pairs.select(F.col("hub").alias("node"))).distinct()
-    holders = sets.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-    texts = written(docs.join(holders, "doc_id").select("node", "text"), "texts")
-    links = written(verified(pairs, texts, words, num, den), "links")
+    owned = sets.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    holders = written(owned.join(needed, "node", "left_semi"), "holders")
+    near = written(possible(pairs, holders, num, den), "near")
+    texts = texts_of(near.select("node").unionAll(near.select(F.col("hub").alias("node"))), holders, docs)
+    links = written(verified(near, texts, words, num, den), "links")
     roots = connected(links)
-    more = tree_links(pairs, roots, texts, words, num, den)
+    more = tree_links(pairs, roots, holders, docs, words, num, den)
     if more is not None and not more.isEmpty():
         roots = connected(links.unionByName(more))
+    sets = sets.drop("bits")
     named = with_root(sets.where("node is not null and doc_id is not null"), roots, "node", "root")
     # rows of one id stand together: its sets' components are one
     ids = named.groupBy("doc_id").agg(F.min("root").alias("first"), F.max("root").alias("last"))
