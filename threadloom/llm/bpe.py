@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 MATRIX_BYTES = 256
 #: Cells of a matrix at most, and pieces that a worker remembers at most.
-MATRIX_CELLS, REMEMBERED = 1 << 20, 300_000
+MATRIX_CELLS, REMEMBERED = 1 << 19, 120_000
 NO_RANK = np.iinfo(np.int32).max
 
 

@@ -38,7 +38,7 @@ from .common import written
 LADDER, SPLITS = 1.5, 8
 #: Rows of a side of a unit, rows of a task of units, fan-out and leaf size of a tree.
 UNIT, TASK_ROWS, FAN, LEAF = 256, 2048, 4, 16
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Ids of a broadcast at most; beyond, texts are fetched by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
