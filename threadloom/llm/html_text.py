@@ -33,6 +33,7 @@ NAMES = {
     "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar", "toolbar",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login",
     "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "related", "recommended", "share", "sharing", "social", "widget", "pagination", "pager", "copyright", "search", "complementary", "contentinfo",
+    "side", "rail", "feedback", "discussion", "responses", "teaser", "paywall", "leaderboard", "skyscraper",
 }
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
