@@ -92,6 +92,38 @@ def test_forest_on_fresh_findings(spark):
     assert sum((r.s >= secrets.CUT) == (r.label == 1) for r in rows) / len(rows) >= 0.95
 
 
+SPACED = [
+    ("password = hunter2!x", "hunter2!x"),
+    ("password: Tr0ub4dor&3", "Tr0ub4dor&3"),
+    ('password = "correcthorsebattery"', "correcthorsebattery"),
+    ("secret = AbCdEfGhIjKlMnOpQrStUv", "AbCdEfGhIjKlMnOpQrStUv"),
+    ('{"user":"bob","password":"s3cretPass99"}', "s3cretPass99"),
+    ('{"user":"bob","client_secret_of_the_service_that_has_a_very_long_name":"Zx81kkq9"}', "Zx81kkq9"),
+    ("user=bob;password=Zx81kkq9", "Zx81kkq9"),
+    ("see https://a.example.org/x?user=1&token=0641917ea4e9feb9cda83477b57ac265&page=2 now", "0641917ea4e9feb9cda83477b57ac265"),
+    ("postgres://bob:pw@host", "pw"),
+    ("a=1&password=x1Y!&token=Qr7$k2Lm9", "Qr7$k2Lm9"),
+    ("my password is hunter2!x", "hunter2!x"),
+]
+
+
+def test_every_value_after_a_credential_is_a_candidate_and_masked(spark):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, (t, _) in enumerate(SPACED)], DOCS)
+    rows = df.select("doc_id", F.transform(secrets.candidates(F.col("text")), lambda c: c["value"]).alias("v")).collect()
+    assert [i for i, v in rows if SPACED[i][1] not in v] == []
+    assert [t for _, t in sorted((r.doc_id, r.text) for r in secrets.redacted(df).collect()) if any(v in t for _, v in SPACED)] == []
+
+
+def test_a_short_secret_is_masked_only_in_its_place(spark):
+    df = spark.createDataFrame([(0, "the pw of postgres://bob:pw@host is pw", "en", "s", 0)], DOCS)
+    assert secrets.redacted(df).first().text == "the pw of postgres://bob:<secret>@host is pw"
+
+
+def test_labelled_secrets_without_a_candidate_are_misses(spark):
+    got = secrets.judged(spark, secrets.labelled_findings(600, seed=99))
+    assert got["hits"] + got["misses"] == 300 and got["misses"] <= 15 and got["false_alarms"] <= 15
+
+
 def test_every_planted_secret_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {(r.doc_id, x.value) for r in secrets.scan(docs).collect() for x in r["__findings"] if x.is_secret}

@@ -1,7 +1,7 @@
 """Secret scans on DataFrame functions, with a random forest that drops false positives.
 
-Words of a text that could hold a secret (a run of token characters with a digit, an assignment to a credential's name, or a
-known prefix) become candidates with features of their value and of the neighbouring words. A random forest, trained
+What could be a secret (every value after a credential's name, in its word or the words before; a login in an address; a run of
+token characters with a digit; a known prefix) becomes a candidate with features of its value and of the neighbouring words. A random forest, trained
 here from labelled findings, turns into a SQL expression and scores them. Private-key blocks are found by their armour.
 
 Everything works within a row: a text is split only where it has a digit, a credential's name or a key block.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 CUT = 0.5
 TREES, DEPTH, LEAST_ROWS, SEED = 15, 5, 4, 11
 MASK = "<secret>"
+SHORT = 8
 
 # Names of credentials, words that name harmless codes, and known prefixes of issued keys.
 CREDENTIAL = r"passw(or)?d|passwd|passphrase|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|bearer|credential"
@@ -32,32 +33,62 @@ WORDS = (
     "data file name user page index image photo video list test main home item code text info date year month report version release draft final table "
     "model server client service request response config default value number string object class method function module package section chapter"
 ).split()
+# What follows a credential's name in a word (to the next pair), a login in an address, a word that ends in a name, and words between a name and its value.
+KEY = rf"(?i)(?:{CREDENTIAL})[\w.-]*+[\"'`\])\\]*+(?:=>|[=:]++)"
+PAIR = KEY + r"""[(\[{<\\]*+(?:"[^"]+"|'[^']+'|`[^`]+`|(?:(?![&;,|][\w.\\\"'\[\]{-]*+[=:])[^\"'`\s])++)"""
+LOGIN = r"(://[^\s/:@]*+:)([^\s/]+)@"
+OTHER_NAME = r"(?i)author(?!iz)|authent|secretar|tokens|token_count"
+NAMED = rf"(?i)(?:{CREDENTIAL})[\w.-]*+[\"'`\])\\]*+[=:>]*+$"
+BETWEEN = r"(?i)^(?:[=:>-]+|(?:is|was|are|bearer|basic)[=:]*)$"
 ARMOUR = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "runs", "distinct", "hex", "dictionary", "vowel_steps", "slashes", "dots", "credential", "harmless", "assigned", "number_like", "address", "issued")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "runs", "distinct", "hex", "dictionary", "vowel_steps", "slashes", "dots", "credential", "harmless", "assigned", "number_like", "address", "issued", "named", "quoted", "login", "classes", "other_name")
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<at, value, own, before, after>>: value is the candidate, own what stands before it in its word."""
-    words = F.split(F.trim(text), r"\s+")
-
-    def of(w: Column, i: Column) -> Column:
-        own = F.regexp_extract(w, r"^([^=:]{0,40}?[=:]+)[^=:]", 1)
-        rest = F.when(own.rlike(rf"(?i)({CREDENTIAL})"), F.substring(w, F.length(own) + 1, F.length(w))).otherwise(w)
-        quoted = F.regexp_extract(rest, r"^[(\[{<]*([\"'`])([^\"'`]+)\1", 2)
-        bare = F.regexp_replace(F.regexp_replace(rest, r"([#*$%&!|~])\1{2,}$", ""), r"^[\"'`(\[{<]+|[\"'`)\]}>,;.!?]+$", "")
-        return F.struct(i.alias("at"), F.when(quoted != "", quoted).otherwise(bare).alias("value"), F.when(rest != w, own).otherwise(F.lit("")).alias("own"))
+    """array<struct<at, value, own, before, after, named, quoted>>: value is the candidate, own what stands before it in its word.
+
+    Every value that follows a credential's name is one, whatever its length or characters: each pair of a word, the password of
+    an address, and (named) a word after the name, with or without a sign or a verb between. Of other words, those with a run."""
+    near = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
+
+    def cleaned(rest: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(rest, r"([#*$%&!|~])\1{2,}$", ""), r"^[\"'`(\[{<]+|[\"'`)\]}>,;.!?\\]+$", "")
+
+    def value(at: Column, own: Column, rest: Column, named: Column) -> Column:
+        inner = F.regexp_extract(rest, r"^[(\[{<\\]*([\"'`])([^\"'`]+)\1", 2)
+        bare = F.when(inner != "", F.regexp_replace(inner, r"\\+$", "")).otherwise(cleaned(rest))
+        return F.struct(at.alias("at"), bare.alias("value"), own.alias("own"), F.lit("").alias("before"), F.lit("").alias("after"), named.alias("named"), (inner != "").alias("quoted"))
+
+    def of(words: Column, w: Column, i: Column) -> Column:
+        no = F.lit(False)
+        key = lambda m: F.regexp_extract(m, f"^{KEY}", 0)
+        pairs = F.transform(F.regexp_extract_all(w, F.lit(PAIR), F.lit(0)), lambda m: value(i, key(m), F.substr(m, F.length(key(m)) + 1), no))
+        logins = F.transform(F.regexp_extract_all(w, F.lit(LOGIN), F.lit(0)), lambda m: value(i, F.regexp_extract(m, LOGIN, 1), F.regexp_extract(m, LOGIN, 2), no))
+        left = F.regexp_replace(F.regexp_replace(w, PAIR, ""), LOGIN, "://")
+        prior = near(words, i - 1)
+        after_name = (prior.rlike(NAMED) | (prior.rlike(BETWEEN) & near(words, i - 2).rlike(NAMED))) & ~w.rlike(BETWEEN)
+        alone = lambda rest, named: F.array(value(i, F.lit(""), rest, named))
+        paired = w.rlike("[=:]") & (w.rlike(PAIR) | w.rlike(LOGIN))
+        return F.when(paired, F.concat(pairs, logins, alone(left, no))).when(after_name, alone(F.regexp_replace(w, "^[=:>]+", ""), F.lit(True))).otherwise(plain(w, i))
+
+    def plain(w: Column, i: Column) -> Column:
+        # only such words can pass as a run or an issued key
+        return F.when(w.rlike("[A-Za-z0-9+/_=~-]{10}|eyJ"), F.array(value(i, F.lit(""), w, F.lit(False)))).otherwise(nothing())
 
     def possible(c: Column) -> Column:
         run = c["value"].rlike(r"[A-Za-z0-9+/_=~-]{10,}") & c["value"].rlike("[0-9]")
-        return (F.length(c["value"]) >= 6) & (run | (c["own"] != "") | c["value"].rlike(ISSUED))
+        return (c["value"] != "") & (c["named"] | (c["own"] != "") | run | c["value"].rlike(ISSUED))
+
+    def found(words: Column, each) -> Column:
+        picked = F.filter(F.flatten(F.transform(words, each)), possible)
+        return F.transform(picked, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), c["own"].alias("own"), F.concat_ws(" ", near(words, c["at"] - 2), near(words, c["at"] - 1)).alias("before"), near(words, c["at"] + 1).alias("after"), c["named"].alias("named"), c["quoted"].alias("quoted")))
 
-    near = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    picked = F.filter(F.transform(words, of), possible)
-    whole = F.transform(picked, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), c["own"].alias("own"), F.concat_ws(" ", near(c["at"] - 2), near(c["at"] - 1)).alias("before"), near(c["at"] + 1).alias("after")))
-    worth = text.rlike("[0-9]") | text.rlike(rf"(?i)({CREDENTIAL})[\"']?\s*[=:]")
-    none = F.expr("cast(array() as array<struct<at:int,value:string,own:string,before:string,after:string>>)")
-    return F.when(worth, whole).otherwise(none)
+    nothing = lambda: F.expr("cast(array() as array<struct<at:int,value:string,own:string,before:string,after:string,named:boolean,quoted:boolean>>)")
+    # a transform over one element, so that its words are split once
+    split = F.array(F.split(F.trim(text), r"\s+"))
+    with_names = F.transform(split, lambda words: found(words, lambda w, i: of(words, w, i)))[0]
+    return F.when(text.rlike(rf"(?i)({CREDENTIAL})") | text.rlike(LOGIN), with_names).when(text.rlike("[0-9]"), F.transform(split, lambda words: found(words, plain))[0]).otherwise(nothing())
 
 
 def features(c: Column) -> Column:
@@ -87,6 +118,11 @@ def features(c: Column) -> Column:
         flag(v.rlike(r"^[0-9.,:/+()x-]+$")),
         flag(v.rlike(r"@|://|^www\.|^[0-9]{1,3}(\.[0-9]{1,3}){3}$")),
         flag(v.rlike(ISSUED)),
+        flag(c["named"]),
+        flag(c["quoted"]),
+        flag(c["own"].startswith("://")),
+        flag(v.rlike("[a-z]")) + flag(v.rlike("[A-Z]")) + flag(v.rlike("[0-9]")) + flag(v.rlike("[^A-Za-z0-9]")),
+        flag(F.concat_ws(" ", c["own"], c["before"]).rlike(OTHER_NAME)),
     )
     return F.struct(*[x.cast("double").alias(name) for x, name in zip(values, FEATURES, strict=True)])
 
@@ -103,6 +139,10 @@ def labelled_findings(rows: int = 900, seed: int = SEED) -> tuple[tuple[str, int
     word = lambda: rng.choice(WORDS) if rng.random() < 0.3 else invented()
     name = lambda: rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "API_KEY", "client_secret", "Password"))
     value = lambda: rng.choice((hexed(rng.randint(12, 64)), mixed(rng.randint(12, 48)), mixed(rng.randint(8, 14)) + rng.choice("!#$%_-"), upper(rng.randint(16, 32)) + digits(2)))
+    human = lambda: rng.choice((invented() + digits(rng.randint(1, 3)) + rng.choice("!#$%&@_-.") + rng.choice(("", mixed(1))), invented().title() + rng.choice("0134578") + invented() + rng.choice(("", "&", "!", "$")) + digits(rng.randint(1, 2)), mixed(rng.randint(6, 10)) + digits(1), invented()[:2] + digits(1) + invented() + word().title() + digits(2)))
+    letters = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=rng.randint(12, 28)))
+    phrase = lambda: word() + invented() + invented() + word()
+    any_value = lambda: rng.choice((value, human, human, letters))()
     issued = lambda: rng.choice(("AKIA" + upper(15) + "7", "ghp_" + mixed(36), "sk-" + mixed(32), "xoxb-" + digits(11) + "-" + mixed(20), "AIza" + mixed(35), "eyJ" + mixed(20) + "." + mixed(40) + "." + mixed(30)))
     secret = (
         lambda: f"{name()}={value()}",
@@ -111,6 +151,18 @@ def labelled_findings(rows: int = 900, seed: int = SEED) -> tuple[tuple[str, int
         lambda: f"{name()}='{value()}'",
         issued,
         lambda: f"{name()}={issued()}",
+        lambda: f"{name()} = {human()}",
+        lambda: f"{name()}: {human()}",
+        lambda: f"{name()}={human()}",
+        lambda: f'{name()} = "{phrase()}"',
+        lambda: f'{name()}: "{human()}"',
+        lambda: f"{name()} = {letters()}",
+        lambda: f"{name()} {rng.choice(('is', 'was', 'is:'))} {human()}",
+        lambda: f'{{"user":"{word()}","{name()}":"{any_value()}"}}',
+        lambda: f"user={word()};{name()}={any_value()}",
+        lambda: f"https://{word()}.example.org/{word()}?user={word()}&{name()}={value()}",
+        lambda: f"{rng.choice(('postgres', 'mysql', 'amqp', 'https'))}://{word()}:{rng.choice((any_value, phrase, invented))()}@{word()}/{word()}",
+        lambda: f"Authorization: {rng.choice(('Bearer', 'Basic'))} {value()}",
     )
     harmless = (
         lambda: f"{rng.choice(('commit', 'sha1', 'sha256', 'md5', 'checksum', 'hash', 'digest', 'revision'))} {rng.choice(('', ': ', '= '))}{hexed(rng.choice((32, 40, 64)))}",
@@ -133,6 +185,15 @@ def labelled_findings(rows: int = 900, seed: int = SEED) -> tuple[tuple[str, int
         lambda: f"{digits(1)}{digits(2)}.{digits(2)}.{digits(2)}.{digits(3)}",
         lambda: "=" * rng.randint(8, 40) + digits(1),
         lambda: f"{word()}{digits(2)}x{digits(4)}px_{word()}",
+        lambda: f"{name()} {rng.choice(('is', 'was'))} {word()}",
+        lambda: f"{name()} {word()}",
+        lambda: f"{rng.choice(('tokens', 'token_count', 'authors', 'secretary', 'authority', 'authentic', 'token', 'secrets'))} {rng.choice(('', 'is '))}{word()}",
+        lambda: f"{rng.choice(('author', 'Author', 'authors', 'secretary', 'auth'))}: {rng.choice((invented().title(), word()))}",
+        lambda: f"{rng.choice(('tokens', 'max_tokens', 'token_count', 'n_tokens', 'tokens_used'))}{rng.choice((': ', '=', ' = ', ' '))}{digits(rng.randint(1, 5))}",
+        lambda: f'{{"{name()}":"{rng.choice(("", "string", "required", "null", word()))}"}}',
+        lambda: f"{name()}={rng.choice(('true', 'false', 'none', 'null', 'required', word()))}",
+        lambda: f"{name()}, {word()}",
+        lambda: f"{name()} = {word()}",
     )
     out = []
     for i in range(rows):
@@ -210,23 +271,39 @@ def forest(spark: SparkSession, findings: tuple[tuple[str, int], ...] | None = N
     return _forests[findings]
 
 
+def judged(spark: SparkSession, findings: tuple[tuple[str, int], ...], cut: float = CUT) -> dict[str, int]:
+    """hits, misses, false_alarms and rejected of labelled findings by their text; a secret without a candidate is a miss."""
+    trees = forest(spark)
+    rows = spark.createDataFrame(list(findings), "text string, label int")
+    secret = F.exists(F.transform(candidates(F.col("text")), features), lambda f: forest_column(trees, f) >= cut)
+    n = {(r["label"], r["secret"]): r["n"] for r in rows.groupBy("label", secret.alias("secret")).agg(F.count("*").alias("n")).collect()}
+    return {name: n.get(key, 0) for name, key in (("hits", (1, True)), ("misses", (1, False)), ("false_alarms", (0, True)), ("rejected", (0, False)))}
+
+
 def scan(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """docs with the column __findings: array<struct<at, kind, value, score, is_secret>>; at is the place of its word, from 0."""
+    """docs with the column __findings: array<struct<at, kind, value, score, is_secret, lead>>; at is the place of its word, from 0, and lead what stands before the value."""
     trees = forest(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.transform(candidates(text), lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), features(c).alias("f")))
-    scored = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), F.when(c["f"]["issued"] == 1, "issued").when(c["f"]["assigned"] == 1, "assigned").otherwise("run").alias("kind"), forest_column(trees, c["f"]).alias("score")))
-    words = F.transform(scored, lambda c: F.struct(c["at"].alias("at"), c["kind"].alias("kind"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= cut).alias("is_secret")))
+    prior = lambda c: F.substring_index(c["before"], " ", -1)
+    found = F.transform(candidates(text), lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), F.when(c["named"], prior(c)).otherwise(c["own"]).alias("lead"), features(c).alias("f")))
+    kind = lambda f: F.when(f["issued"] == 1, "issued").when(f["assigned"] == 1, "assigned").when(f["named"] == 1, "named").otherwise("run")
+    scored = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), c["lead"].alias("lead"), kind(c["f"]).alias("kind"), forest_column(trees, c["f"]).alias("score")))
+    words = F.transform(scored, lambda c: F.struct(c["at"].alias("at"), c["kind"].alias("kind"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= cut).alias("is_secret"), c["lead"].alias("lead")))
     none = F.expr("cast(array() as array<string>)")
     keys = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.regexp_extract_all(text, F.lit(ARMOUR), F.lit(0))).otherwise(none)
-    blocks = F.transform(keys, lambda v: F.struct(F.lit(-1).alias("at"), F.lit("private_key").alias("kind"), v.alias("value"), F.lit(1.0).alias("score"), F.lit(True).alias("is_secret")))
+    blocks = F.transform(keys, lambda v: F.struct(F.lit(-1).alias("at"), F.lit("private_key").alias("kind"), v.alias("value"), F.lit(1.0).alias("score"), F.lit(True).alias("is_secret"), F.lit("").alias("lead")))
     return docs.withColumn("__findings", F.concat(blocks, words))
 
 
 def redacted(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """docs, all rows and columns, with every value found to be a secret replaced in its text; longer values go first."""
+    """docs, all rows and columns, with every value found to be a secret replaced in its text; longer values go first.
+
+    Values of under SHORT characters are replaced only behind what stood before them, as they may be words of the text."""
     scanned = scan(docs, text_col, cut)
-    secret = F.array_distinct(F.transform(F.filter("__findings", lambda x: x["is_secret"]), lambda x: x["value"]))
-    secret = F.transform(F.array_sort(F.transform(secret, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
-    clean = F.when(F.size(secret) > 0, F.aggregate(secret, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(MASK)))).otherwise(F.col(text_col))
+    literal = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    behind = lambda s: F.concat(F.lit("("), literal(s["lead"]), F.lit("[\\s\"'`(\\[{<\\\\=:>]*)"), literal(s["v"]), F.lit("(?![A-Za-z0-9])"))
+    mask = lambda t, s: F.when(F.length(s["v"]) < SHORT, F.regexp_replace(t, behind(s), F.lit("$1" + MASK))).otherwise(F.replace(t, s["v"], F.lit(MASK)))
+    secret = F.transform(F.filter("__findings", lambda x: x["is_secret"]), lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("v"), F.when(F.length(x["value"]) < SHORT, x["lead"]).otherwise("").alias("lead")))
+    secret = F.array_sort(F.array_distinct(secret))
+    clean = F.when(F.size(secret) > 0, F.aggregate(secret, F.col(text_col), mask)).otherwise(F.col(text_col))
     return scanned.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
