@@ -141,6 +141,27 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = " ".join(["Sentences of the article say what happened."] * 12)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><div class="article-header"><h1>H</h1></div><h2 class="section-header">S</h2><p>{0}</p></article>', "H S {0}"),
+        ('<article><p>{0}</p><section id="discussion"><p>{0}</p></section><section id="related-work"><p>{0}</p></section></article>', "{0} {0} {0}"),
+        ('<article><div class="side-effects"><p>{0}</p></div><p class="notice">{0}</p></article>', "{0} {0}"),
+        ('<body><div class="layout has-sidebar"><p>{0}</p></div></body>', "{0}"),
+        ('<div class="no-sidebar"><p>{0}</p><div class="sidebar">Buy</div></div>', "{0}"),
+        ('<div class="sidebar"><p>{0}</p></div>', "{0}"),
+        ('<div class="menu"><div class="menu">x</div><p class="notice">y</div><div class="t"><p>{0}</p></div>', "{0}"),
+        ('<article><p>{0}</p></article><section id="comments"><article><p>{0} no</p></article></section>', "{0}"),
+        ('<article><p>{0}</p></article><article class="comment"><p>no</p></article><aside><article><p>no</p></article></aside>', "{0}"),
+    ],
+)
+def test_names_are_hints(page, want):
+    assert html_text.main_text(page.format(LONG)) == want.format(LONG)
+
+
 def test_main_text_over_frames(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

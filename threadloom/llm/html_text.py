@@ -1,9 +1,11 @@
 """Main text of a page by line-block distribution.
 
-Markup is stripped to lines, one a block element. Boilerplate elements (menus, scripts, forms, adverts, comments, ...)
-leave ``WINDOW`` empty lines. Over the lines, text lengths are summed in sliding windows; where the sums rise from
-nothing to the threshold the text surges, where they fall back to nothing it dives, and what lies between is a segment.
-Segments inside an article or main element are the text; without such an element, those that are not mostly links.
+Markup is stripped to lines, one a block element. A container (div, section, ...) and a dropped element (menus, scripts,
+forms, ...) leave ``WINDOW`` empty lines. Over the lines, text lengths are summed in sliding windows; a segment lies between
+two dives of the sums to nothing, and is text where the sums surge to a share of those that a typical character of the page
+lies in. Short segments of the same class and depth as one that surges belong to it, and so does a heading before one. Class,
+id and role names are hints: a named block goes only where it is mostly links or its sums never surge.
+Inside an article or main element all lines are text but dropped elements and confirmed hints; other segments must surge.
 
 Cases: null html is empty; a page without text gives an empty string; repeated rows each give a row; nulls in url are
 kept; other columns are not read; no text is cut. Unclosed boilerplate ends where an article or main element begins.
@@ -14,20 +16,23 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-#: Characters that the windows of a segment must reach, and the share of linked text that makes it a menu.
-SURGE, LINKED = 1, 0.5
+#: Share of the page's typical window sum that a segment must reach, and the share of linked text that makes it a menu.
+SURGE, LINKED = 0.25, 0.5
 
 # Fixed values of HTML: elements that are no text, raw-text elements, and elements that break a line.
 DROPPED = {"nav", "header", "footer", "aside", "form", "noscript", "template", "select", "button", "iframe", "svg", "canvas", "object", "dialog", "menu", "head", "figure", "video", "audio", "map"}
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 BREAKS = {"p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "blockquote", "pre", "br", "hr", "body", "html", "address", "figcaption", "details", "summary", "center", "fieldset"}
+CONTAINERS = {"div", "section", "center", "fieldset", "address", "details"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-# Words of class, id and role values that name boilerplate.
+# Whole words of class, id and role values that hint at boilerplate, and those of others' texts.
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "adbox", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion",
     "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar", "toolbar",
@@ -36,29 +41,45 @@ NAMES = {
     "side", "rail", "feedback", "discussion", "responses", "teaser", "paywall", "leaderboard", "skyscraper",
 }
 
+OTHERS = {"comment", "comments", "commentlist", "comment-list", "disqus", "disqus_thread"}
+OTHER_ARTICLES = OTHERS | {"related", "recommended", "related-posts", "related-articles", "reply", "replies", "teaser"}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
-def _boilerplate(name: str, attributes: str, landmark: int) -> bool:
+class Line(NamedTuple):
+    text: str
+    linked: int = 0
+    landmark: bool = False
+    heading: bool = False
+    #: depth and names of its container
+    place: tuple = ()
+
+
+def _words(attributes: str) -> set[str]:
+    return {word for values in _NAMED.findall(attributes) for word in "".join(values).lower().split()} if attributes else set()
+
+
+def _dropped(name: str, attributes: str, landmark: int) -> bool:
     if name in DROPPED:
         return not (landmark and name in ("header", "figure"))
-    if name in ("article", "main", "body", "html") or not attributes:
+    if name in ("main", "body", "html") or not attributes:
         return False
-    for values in _NAMED.findall(attributes):
-        for word in re.split(r"[\s]+", "".join(values).lower()):
-            if word in NAMES or any(part in NAMES for part in re.split(r"[-_]+", word)):
-                return True
-    return bool(_HIDDEN.search(attributes))
+    return bool(_words(attributes) & (OTHER_ARTICLES if name == "article" else OTHERS)) or bool(name != "article" and _HIDDEN.search(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, linked characters, inside a landmark) of each line; boilerplate leaves empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
+    """The lines, with empty ones where containers and dropped elements were, and [begin, end) of each block with a hint."""
+    lines: list[Line] = []
+    hints: list[tuple[int, int]] = []
     words: list[str] = []
+    boxes: list[tuple[str, str]] = []  # open containers
+    hinted: list[list] = []  # name, depth, begin
     linked, in_link, landmark, at = 0, 0, 0, 0
-    skip, depth = "", 0
+    heading = False
+    skip, depth, closed = "", 0, False
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -69,12 +90,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 linked += len(t.strip())
 
     def line() -> None:
-        nonlocal linked
+        nonlocal linked, heading
         t = " ".join("".join(words).split())
         words.clear()
         if t:
-            lines.append((t, linked, landmark > 0))
-        linked = 0
+            lines.append(Line(t, linked, landmark > 0, heading, (len(boxes), boxes[-1][1] if boxes else "")))
+        linked, heading = 0, False
+
+    def blank() -> None:
+        if lines and lines[-1].text:
+            lines.extend([Line("", landmark=landmark > 0)] * WINDOW)
 
     n, search, lowered = len(page), _TOKEN.search, ""
     while at < n:
@@ -96,8 +121,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             at = end
             continue
         if skip:
-            if name in ("article", "main") and not closing:
-                skip = ""
+            if name in ("article", "main") and not closing and skip != name and not closed:
+                tags = re.findall(rf"<(/?){skip}\b", page[at:], re.I)
+                closed = 2 * tags.count("/") - len(tags) >= depth
+                skip = skip if closed else ""
             elif name == skip:
                 depth += -1 if closing else 0 if alone else 1
                 if depth == 0:
@@ -105,55 +132,89 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     continue
             if skip:
                 continue
-        if not closing and not alone and _boilerplate(name, attributes, landmark):
+        if not closing and not alone and _dropped(name, attributes, landmark):
             line()
-            lines.extend([("", 0, landmark > 0)] * WINDOW)
-            skip, depth = name, 1
+            blank()
+            skip, depth, closed = name, 1, False
             continue
         if name in BREAKS:
             line()
+            heading = name in HEADINGS and not closing
             if name in ("article", "main"):
                 landmark = max(0, landmark + (-1 if closing else 1))
-                lines.extend([("", 0, landmark > 0)] * WINDOW)
+            if name in CONTAINERS or name in ("article", "main"):
+                blank()
+            if name in CONTAINERS and not alone:
+                if not closing:
+                    boxes.append((name, " ".join(sorted(_words(attributes)))))
+                elif boxes:
+                    boxes.pop()
         elif name == "a":
             in_link = 0 if closing else 1
-        if skip:
+        if alone:
             continue
+        for h in hinted:
+            h[1] += (-1 if closing else 1) if h[0] == name else 0
+        if closing and (ended := next((k for k, h in enumerate(hinted) if h[1] == 0), None)) is not None:
+            line()
+            hints += [(begin, len(lines)) for _, _, begin in hinted[ended:]]
+            del hinted[ended:]
+            blank()
+        if not closing and name not in ("article", "main", "body", "html") and _words(attributes) & NAMES:
+            line()
+            blank()
+            hinted.append([name, 1, len(lines)])
+            heading = name in HEADINGS
     line()
-    return lines
-
-
-def segments(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """[begin, end) of each stretch between a surge and the next dive of the window sums."""
-    out, begin, total = [], -1, 0
-    sums = []
-    for i in range(len(lengths)):
-        total += lengths[i] - (lengths[i - window] if i >= window else 0)
-        sums.append(total)  # of the window that ends at line i
-    peak = 0
-    for i, s in enumerate(sums):
+    hints += [(begin, len(lines)) for _, _, begin in hinted]
+    return lines, hints
+
+
+def sums_of(lengths: list[int], window: int = WINDOW) -> list[int]:
+    """The sum of each window, by the line that it ends at."""
+    out, total = [], 0
+    for i, n in enumerate(lengths):
+        total += n - (lengths[i - window] if i >= window else 0)
+        out.append(total)
+    return out
+
+
+def surge_of(lengths: list[int]) -> float:
+    """SURGE of the sum of the window that the middle character of a page lies in."""
+    ordered = sorted(zip(sums_of(lengths), lengths, strict=True))
+    half, seen = sum(lengths) / 2, 0
+    for s, n in ordered:
+        seen += n
+        if n and seen >= half:
+            return max(1, SURGE * s)
+    return 1
+
+
+def segments(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """[begin, end) and the peak of each stretch between two dives of the window sums."""
+    out, begin, peak = [], -1, 0
+    for i, s in enumerate([*sums_of(lengths, window), 0]):
         if s > 0 and begin < 0:
             begin, peak = i, 0
         peak = max(peak, s)
         if s == 0 and begin >= 0:
-            if peak >= surge:
-                out.append((begin, i))
+            out.append((begin, i, peak))
             begin = -1
-    if begin >= 0 and peak >= surge:
-        out.append((begin, len(lengths)))
     return out
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    found = segments([len(t) for t, _, _ in lines])
-    inside = [s for s in found if any(lines[i][2] for i in range(*s) if lines[i][0])]
-    if inside:
-        kept = [t for s in inside for t, _, landmark in lines[slice(*s)] if t and landmark]
-    else:
-        total = lambda s, k: sum(len(x[0]) if k == 0 else x[1] for x in lines[slice(*s)])
-        kept = [t for s in found if total(s, 1) < LINKED * total(s, 0) for t, _, _ in lines[slice(*s)] if t]
-    return " ".join(kept)
+    lines, hints = lines_of(page or "")
+    lengths = [len(x.text) for x in lines]
+    surge = surge_of(lengths)
+    menu = lambda b, e: sum(x.linked for x in lines[b:e]) >= LINKED * max(1, sum(lengths[b:e]))
+    for b, e in hints:
+        if menu(b, e) or max(sums_of(lengths[b:e]), default=0) < surge:
+            lines[b:e] = [Line("", landmark=x.landmark) for x in lines[b:e]]
+    if any(x.text and x.landmark for x in lines):
+        return " ".join(x.text for x in lines if x.text and x.landmark)
+    found = [x for x in segments([len(x.text) for x in lines]) if not menu(*x[:2])]
+    return " ".join(x.text for b, e, _ in found for x in lines[b:e] if x.text)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
