@@ -162,6 +162,17 @@ def test_names_are_hints(page, want):
     assert html_text.main_text(page.format(LONG)) == want.format(LONG)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="x1">Buy now</div><div class="t"><h1>H</h1><p>{0}</p><p>Yes.</p><p>{0}</p></div><div class="x2">Note this</div><div class="x3">2020 Some Ltd</div>', "H {0} Yes. {0}"),
+        ('<div class="h"><h1>H</h1></div><div class="p">{0}</div><div class="q7">Best price today</div><div class="p">Short.</div><div class="p">{0}</div>', "H {0} Short. {0}"),
+    ],
+)
+def test_sums_choose_the_text(page, want):
+    assert html_text.main_text(page.format(LONG)) == want.format(LONG)
+
+
 def test_main_text_over_frames(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -214,7 +214,11 @@ def main_text(page: str | None) -> str:
     if any(x.text and x.landmark for x in lines):
         return " ".join(x.text for x in lines if x.text and x.landmark)
     found = [x for x in segments([len(x.text) for x in lines]) if not menu(*x[:2])]
-    return " ".join(x.text for b, e, _ in found for x in lines[b:e] if x.text)
+    places = {x.place for b, e, peak in found if peak >= surge for x in lines[b:e] if x.text}
+    kept = [peak >= surge or all(x.place in places for x in lines[b:e] if x.text) for b, e, peak in found]
+    for k in range(len(found) - 2, -1, -1):
+        kept[k] |= kept[k + 1] and all(x.heading for x in lines[slice(*found[k][:2])] if x.text)
+    return " ".join(x.text for (b, e, _), keep in zip(found, kept, strict=True) if keep for x in lines[b:e] if x.text)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
