@@ -144,3 +144,16 @@ def test_other_sinks(spark, tmp_path):
     row = spark.read.csv(str(tmp_path / "c"), header=True, sep=";").first()
     assert row["variants"] == "v | w" and len(row["question_original"]) == 800
     assert '"n"' in sinks.stats_json({"s": spark.sql("select 1 n")})
+
+
+def test_faq_splits_loose_clusters_and_merges_representatives(spark):
+    name = lambda k: "q" + chr(97 + k // 26) + chr(97 + k % 26) + "x"
+    faq = lambda questions: plans.faq(spark.createDataFrame([(i, 1, q, "answer", 1.0, 1.0) for i, q in enumerate(questions)], "pair_id long, thread long, question string, answer string, question_score double, answer_score double"))
+    # each shares 4 of 7 words with the next (0.4), and few with others: one component of twelve, too loose to stay
+    chain = [" ".join(name(3 * i + k) for k in range(7)) for i in range(12)]
+    got = faq(chain).orderBy("cluster_id").collect()
+    assert [r.frequency for r in got] == [1] * 12 and [r.cluster_id for r in got] == list(range(1, 13))
+    # no token of the signatures in common, but 16 of 36 words of the questions
+    shared = " ".join("z" + name(k) for k in range(16))
+    long = [" ".join(c + name(k) for k in range(10)) + " " + shared for c in "ab"]
+    assert faq(long).first().frequency == 2

@@ -52,14 +52,39 @@ def question_pairs(messages: DataFrame, most: int = 4) -> DataFrame:
 
 
 def faq(pairs: DataFrame, threshold: float = 0.38, themes: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """A row a cluster of similar questions, with its best answer and variants."""
-    p = clusters.stored(pairs.withColumns({"signature": tokens.signature(F.col("question")), "theme": tokens.theme(F.col("question"), themes) if themes else F.lit("other"), "language": text.rule_language(F.col("question"))}))
-    found = clusters.token_pairs(p, "pair_id", "signature")
-    side = lambda n: p.select(F.col("pair_id").alias(n), F.col("theme").alias(f"t{n}"), tokens.distinctive_words(F.col("question")).alias(f"d{n}"))
-    both = found.join(side("a"), "a").join(side("b"), "b")
-    similarity = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    edges = both.where(clusters.pair_rule(F.col("shared"), similarity, F.col("ta") == F.col("tb"), F.size(F.array_intersect("da", "db")), threshold))
-    return clusters.summaries(p.join(clusters.components(p, edges, "pair_id"), "pair_id"))
+    """A row a cluster of similar questions, with its best answer and variants; cluster_id numbers the clusters from the most frequent.
+
+    Pairs link by the pair rule, large clusters of little cohesion are split, and what is left is merged by the rule of clusters
+    over representatives; root is the smallest pair_id of the result."""
+    theme_of = lambda c: tokens.theme(F.col(c), themes) if themes else F.lit("other")
+
+    def linked(found: DataFrame, items: DataFrame, ident: str, question: str, rule) -> DataFrame:
+        side = lambda n: items.select(F.col(ident).alias(n), F.col("theme").alias(f"t{n}"), tokens.distinctive_words(F.col(question)).alias(f"d{n}"))
+        both = found.join(side("a"), "a").join(side("b"), "b")
+        similarity = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+        return both.where(rule(similarity, (F.col("ta") == F.col("tb")) & (F.col("ta") != "other"), F.size(F.array_intersect("da", "db"))))
+
+    p = clusters.stored(pairs.withColumns({"signature": tokens.signature(F.col("question")), "theme": theme_of("question"), "language": text.rule_language(F.col("question"))}))
+    edges = linked(clusters.token_pairs(p, "pair_id", "signature"), p, "pair_id", "question", lambda s, t, d: clusters.pair_rule(F.col("shared"), s, t, d, threshold))
+    members = clusters.stored(p.join(clusters.components(p, edges, "pair_id"), "pair_id"))
+
+    size = members.groupBy("root").agg(F.count("*").alias("n"))
+    large = members.join(size.where("n > 8"), "root", "left_semi")
+    shaped = members.join(size, "root").join(clusters.cohesion(large, "root", "pair_id", "signature"), "root", "left")
+    # a cluster has one theme, so only the words part it
+    part = clusters.split_key(F.col("root"), F.col("n"), F.coalesce("cohesion", F.lit(1.0)), F.lit(""), tokens.distinctive_words(F.col("question")))
+    members = clusters.stored(shaped.withColumn("part", part).drop("n", "cohesion"))
+
+    whole = members.where(F.col("part") == F.col("root").cast("string")).where("theme <> 'other'")
+    named = clusters.majority(whole, ["part"], "theme", "pair_id", "main")
+    heads = clusters.summaries(members.drop("root").withColumnRenamed("part", "root")).select(F.col("root").alias("part"), "representative")
+    heads = clusters.stored(heads.join(named, "part", "left").select("part", "representative", F.coalesce("main", theme_of("representative")).alias("theme"), tokens.clustering_words(F.col("representative")).alias("w")))
+    edges = linked(clusters.token_pairs(heads, "part", "w"), heads, "part", "representative", lambda s, t, d: clusters.cluster_rule(s, t, d, threshold))
+    merged = clusters.stored(members.drop("root").join(clusters.components(heads, edges, "part"), "part"))
+
+    first = merged.groupBy("root").agg(F.min("pair_id").alias("__first"))
+    rows = clusters.summaries(merged.join(first, "root").drop("root").withColumnRenamed("__first", "root"))
+    return ranking.dense_numbers(rows, "cluster_id", F.desc("frequency"), F.desc("best_score"), "representative", "root")
 
 
 def index_points(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
