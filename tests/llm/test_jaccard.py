@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import jaccard
@@ -110,3 +111,12 @@ def test_tree_join_loses_no_pair():
             if jaccard.linked(x, y, 80, 100):
                 want.join(i, j)
     assert [up.find(i) for i in range(150)] == [want.find(i) for i in range(150)]
+
+
+@pytest.mark.parametrize("other", ["words of quite another row here", "", None])
+def test_a_node_keeps_its_set_where_a_doc_id_has_other_texts(other):
+    text = "one two three four five six"
+    node = jaccard.name_of(jaccard.shingles(text, 3))
+    for texts in ([text, other], [other, text]):
+        got = jaccard.named_sets([node, node], pa.array(texts, pa.string()), 3)
+        assert list(got) == [node] and np.array_equal(got[node][0], jaccard.shingles(text, 3))

@@ -377,6 +377,12 @@ def _with_task(units: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]
     return units, named.join(held, "node")
 
 
+def named_sets(nodes: list[int], texts: pa.ChunkedArray | pa.Array, words: int) -> dict[int, tuple]:
+    """(set,) of each node, from the rows whose set has its name; a doc_id may have rows of other texts."""
+    sets = ((node, shingles(text.as_py(), words)) for node, text in zip(nodes, texts, strict=True))
+    return {node: (x,) for node, x in sets if name_of(x) == node}
+
+
 def tree_links(pairs: DataFrame, roots: DataFrame, holders: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
     """Links that stars left open, or None where there are none.
 
@@ -409,8 +415,7 @@ def tree_links(pairs: DataFrame, roots: DataFrame, holders: DataFrame, docs: Dat
         return None
 
     def join(rows: pa.Table, given: pa.Table) -> pa.Table:
-        sets = {node: (shingles(text.as_py(), words),) for node, text in zip(given.column("node").to_pylist(), given.column("text"), strict=True)}
-        sets = {node: x for node, x in sets.items() if name_of(x[0]) == node}
+        sets = named_sets(given.column("node").to_pylist(), given.column("text"), words)
         found = [x for left, right in _by_unit(rows, sets).values() for x in unit_links(left, right, num, den)]
         return pa.table({"node": pa.array([x[0] for x in found], pa.int64()), "hub": pa.array([x[1] for x in found], pa.int64())})
 
