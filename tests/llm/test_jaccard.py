@@ -65,6 +65,26 @@ def test_components_equal_brute_force(spark, words, num, den, seed):
     assert got == brute(docs, words, num, den)
 
 
+@pytest.mark.parametrize(("words", "num", "den", "seed"), [(3, 90, 100, 1), (5, 80, 100, 2), (1, 80, 100, 3)])
+def test_hot_groups_equal_brute_force(spark, monkeypatch, words, num, den, seed):
+    monkeypatch.setattr(jaccard, "UNIT", 3)
+    monkeypatch.setattr(jaccard, "APART_UNIT", 4)
+    docs = corpus(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df, words, num, den).collect()}
+    assert got == brute(docs, words, num, den)
+
+
+def test_links_come_from_trees(spark, monkeypatch):
+    found = []
+    join = jaccard.tree_join
+    monkeypatch.setattr(jaccard, "tree_join", lambda *args: found.append(join(*args)) or found[-1])
+    df = spark.createDataFrame(corpus(2), "doc_id long, text string")
+    got = jaccard.components(df, 5, 80, 100).where("component_id < doc_id").count()
+    exact = df.count() - df.select("text").distinct().count()
+    assert sum(x.count() for x in found) >= got - exact > 0
+
+
 def test_nulls_empties_repeats_and_extra_columns(spark):
     rows = [(5, "A b c d", 1), (3, "a B c d", 2), (None, "a b c d", 3), (7, None, 4), (8, " \t", 5), (9, "x", 6), (9, "x", 6), (10, "X", 7), (11, "é", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node int").withColumnRenamed("node", "component_id")
@@ -119,4 +139,4 @@ def test_a_node_keeps_its_set_where_a_doc_id_has_other_texts(other):
     node = jaccard.name_of(jaccard.shingles(text, 3))
     for texts in ([text, other], [other, text]):
         got = jaccard.named_sets([node, node], pa.array(texts, pa.string()), 3)
-        assert list(got) == [node] and np.array_equal(got[node][0], jaccard.shingles(text, 3))
+        assert list(got) == [node] and np.array_equal(got[node], jaccard.shingles(text, 3))

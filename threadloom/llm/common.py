@@ -14,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a local master, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        own = getattr(spark.sparkContext, "_threadloom_dir", None)
-        if own:
-            return own
-        spark.sparkContext._threadloom_dir = found
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not getattr(context, "_threadloom_dir", None):
+        context._threadloom_dir = "file://" + tempfile.mkdtemp(prefix="threadloom-")
+    return context._threadloom_dir
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -36,3 +36,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, longer by underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

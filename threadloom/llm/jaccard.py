@@ -1,23 +1,25 @@
 """N-gram Jaccard join: which documents link, and the components that the links make.
 
 A document's set is the distinct hashes of its word n-grams. Sets that agree are one node. Two nodes link when the
-Jaccard similarity of their sets is at least num / den. The join finds every link that joins two components:
+Jaccard similarity of their sets is at least num / den. Every link between nodes is found by signature trees; keys only say which
+nodes meet in one tree:
 
-1. *Blocks.* Sets of a similarity of t differ in at most d = n (1 - t) / t elements, n the smaller size. Split by hash into
+1. *Groups.* Sets of a similarity of t differ in at most d = n (1 - t) / t elements, n the smaller size. Split by hash into
    k > d parts, they agree in a part whole, so a key a part (its place and the sum of its hashes) brings them together.
    Empty parts have no key; k leaves room for them. A set with more empty parts than that also takes another
    split, and at the last one a key that all such sets share. k comes from a ladder, so that sets of near sizes use the same.
-2. *Stars.* Each block compares its rows with its first node only, after sizes and token bitmaps. Links make components; a block whose rows
-   are all with its first node is done, which is the case of copies, however many.
-3. *Signature trees.* In the other blocks each row outside that component meets the rest of the block (blocks of one
-   first node together), in units of about ``UNIT`` rows a side. A unit builds a tree a side, whose nodes hold OR-combined token bitmaps and size ranges; a dual
-   traversal drops node pairs whose maximum possible overlap is too small, and pairs already in one component.
+   The blocks of one first node (the hub) are one group.
+2. *Signature trees.* A group is dealt to units of about ``UNIT`` rows, the hub in each. A unit builds a tree whose nodes hold
+   OR-combined token bitmaps and size ranges; a dual traversal of the tree with itself drops node pairs whose maximum possible overlap is too small.
+   Sets are fetched for rows that it leaves, and a second tree on them, with wider bitmaps, names the pairs that are verified. A group of one unit is done.
+3. *Hot groups.* Links make components. Where a group of several units still holds rows of different ones, each row outside the
+   hub's component meets all rows of the group, in trees of ``APART_UNIT`` rows a side; pairs of one component are skipped.
 
-Every pair that is kept is verified on whole sets. Work and rows grow with the corpus, save in blocks of many
-unlike documents, which the trees prune. Hashes have 64 bits: among N documents about N^2 / 2^65 unequal pairs share a name.
+Every pair that is kept is verified on whole sets. Rows that move grow with the rows of groups; only step 3 takes the product
+of a group's rows outside that component and all its rows, over ``APART_UNIT``. Hashes have 64 bits: among N documents about N^2 / 2^65 unequal pairs share a name.
 
 Cases: null or blank texts have an empty set, link with nothing and are their own component; a null doc_id takes no
-part and gets a null component; rows of one doc_id are one document; other columns are not read.
+part and gets a null component; rows of one doc_id are one document; ids are integers; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import unused, written
 
 LADDER, SPLITS = 1.5, 8
-#: Rows of a side of a unit, rows of a task of units, fan-out and leaf size of a tree.
-UNIT, TASK_ROWS, FAN, LEAF = 256, 2048, 4, 16
+#: Rows of a unit, rows and set elements of a task of units, fan-out and leaf size of a tree.
+UNIT, TASK_ROWS, TASK_ELEMENTS, FAN, LEAF = 256, 2048, 150_000, 4, 16
+#: Rows of a side of a unit of a hot group's open rows.
+APART_UNIT = 2048
 REMEMBERED = 150_000
+#: Nodes whose keys a task remembers to have given.
+SEEN = 200_000
 #: Ids of a broadcast at most; beyond, texts are fetched by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -192,10 +198,12 @@ def may_link(n: int, x: np.ndarray, m: int, y: np.ndarray, num: int, den: int) -
 
 
 def dual_join(left: Tree, right: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of left, rows of right) that may link, in the order of the trees' input, a leaf pair at a time."""
+    """(rows of left, rows of right) that may link, in the order of the trees' input, a leaf pair at a time; once a pair where both are one tree."""
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         a, i, b, j = stack.pop()
+        if left is right and a == b and i > j:
+            continue
         (bits_a, low_a, high_a, over_a), (bits_b, low_b, high_b, over_b) = left.levels[a], right.levels[b]
         if den * high_a[i] < num * low_b[j] or den * high_b[j] < num * low_a[i]:
             continue
@@ -233,26 +241,34 @@ class Union:
             self.up[max(x, y)] = min(x, y)
 
 
-def unit_candidates(left: list, right: list, num: int, den: int) -> tuple[set[int], set[int]]:
-    """Places in two lists of (node, root, n, bitmap) of rows that may link to a row of another component on the other side."""
-    words = min(len(x[3]) for x in (*left, *right))
-    trees = [Tree(np.array([x[2] for x in side]), np.stack([folded(x[3], words) for x in side])) for side in (left, right)]
-    roots = [np.array([x[1] for x in side], np.int64) for side in (left, right)]
-    found: tuple[set[int], set[int]] = (set(), set())
-    for p, q in dual_join(*trees, num, den):
-        apart = roots[0][p] != roots[1][q]
-        found[0].update(p[apart].tolist())
-        found[1].update(q[apart].tolist())
-    return found
+def unit_candidates(side: np.ndarray, root: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each row of a unit may link to a row of another component; rows of side 0 meet those of side 1, and of side 2 all."""
+    keep = np.zeros(len(side), bool)
+    if len(side) == 2:
+        keep[:] = root[0] != root[1] and may_link(int(sizes[0]), bitmaps[0], int(sizes[1]), bitmaps[1], num, den)
+        return keep
+    words = min(map(len, bitmaps))
+    bits = np.stack([folded(x, words) for x in bitmaps])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return keep
+    one = Tree(sizes[left], bits[left])
+    for p, q in dual_join(one, one if len(left) == len(right) == len(side) else Tree(sizes[right], bits[right]), num, den):
+        p, q = left[p], right[q]
+        apart = root[p] != root[q]
+        keep[p[apart]] = keep[q[apart]] = True
+    return keep
 
 
 def unit_links(left: list, right: list, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join components, between two lists of (node, root, hashes)."""
+    """Links that join components, between two lists of (node, root, hashes), or within one list given twice."""
+    if not left or not right:
+        return []
     most = max(len(x[2]) for x in (*left, *right))
     bits = bits_for(most)
-    trees = [Tree(np.array([len(x[2]) for x in side]), np.stack([bitmap_of(x[2], bits) for x in side])) for side in (left, right)]
+    trees = [Tree(np.array([len(x[2]) for x in side]), np.stack([bitmap_of(x[2], bits) for x in side])) for side in ((left,) if left is right else (left, right))]
     union, found = Union(), []
-    for p, q in dual_join(*trees, num, den):
+    for p, q in dual_join(trees[0], trees[-1], num, den):
         for i, j in zip(p.tolist(), q.tolist(), strict=True):
             (a, ra, x), (b, rb, y) = left[i], right[j]
             if union.find(ra) != union.find(rb) and linked(x, y, num, den):
@@ -277,12 +293,15 @@ def document_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
 
 
 def block_keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(key, node): a row a key of each set; from all rows with an id."""
+    """(key, node): a row a key of each set, equal sets of a task once; from all rows with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                keys, nodes, seen = [], [], set()
+                keys, nodes = [], []
+                if len(seen) > SEEN:
+                    seen.clear()
                 for text in batch.column(0).slice(i, 256).to_pylist():
                     s = shingles(text, words)
                     node = name_of(s) if len(s) else None
@@ -298,24 +317,6 @@ def block_keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, node long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The rows (node, hub) of pairs whose sets link; texts has (node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            keep = []
-            for node, hub, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != (hub, b):
-                    last = ((hub, b), shingles(b, words))
-                x, y = shingles(a, words), last[1]
-                keep.append(name_of(x) == node and name_of(y) == hub and linked(x, y, num, den))
-            yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(texts.select("node", F.col("text").alias("a")), "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("b")), "hub")
-    return joined.select("node", "hub", "a", "b").mapInArrow(run, "node long, hub long")
-
-
 def connected(edges: DataFrame, a: str = "node", b: str = "hub") -> DataFrame:
     """(node, root) of every node of the edges, by rounds of hooking to the smallest neighbour and contracting."""
     live = written(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct(), "edges")
@@ -340,117 +341,145 @@ def with_root(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFra
     return df.join(named, column, "left").withColumn(out, F.coalesce(out, column))
 
 
-def possible(pairs: DataFrame, holders: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (node, hub) whose sizes and bitmaps allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [may_link(n, np.frombuffer(x, np.uint64), m, np.frombuffer(y, np.uint64), num, den) for n, x, m, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
-            yield batch.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
-
-    a = holders.select("node", F.col("n").alias("na"), F.col("bits").alias("xa"))
-    b = holders.select(F.col("node").alias("hub"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    return pairs.join(a, "node").join(b, "hub").select("node", "hub", "na", "xa", "nb", "xb").mapInArrow(run, "node long, hub long")
+def few(df: DataFrame) -> DataFrame:
+    """df, which is written, with a broadcast hint where it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def texts_of(nodes: DataFrame, holders: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the nodes, each from one document that holds its set."""
     ids = written(holders.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(docs.join(ids, "doc_id").select("node", "text"), "texts")
+    return written(docs.join(few(ids), "doc_id").select("node", "text"), "texts")
+
+
+def named_sets(nodes: list[int], texts: pa.ChunkedArray | pa.Array, words: int) -> dict[int, np.ndarray]:
+    """The set of each node, from the rows whose set has its name; a doc_id may have rows of other texts."""
+    sets: dict[int, np.ndarray] = {}
+    for node, text in zip(nodes, texts, strict=True):
+        if node not in sets:
+            x = shingles(text.as_py(), words)
+            if name_of(x) == node:
+                sets[node] = x
+    return sets
+
+
+def _units(rows: pa.Table) -> Iterator[np.ndarray]:
+    """Row numbers of each unit of a task."""
+    unit = rows.column("unit").to_numpy()
+    order = np.argsort(unit, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(order) else ()
+
+
+def tree_join(rows: DataFrame, holders: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, hub): links that join components, found by the trees of the units of rows (unit, side, node, root), which is written."""
+
+    def prune(given: pa.Table) -> pa.Table:
+        side, root, n = (given.column(c).to_numpy() for c in ("side", "root", "n"))
+        bitmaps = [np.frombuffer(x, np.uint64) for x in given.column("bits").to_pylist()]
+        keep = np.zeros(len(side), bool)
+        for at in _units(given):
+            keep[at] = len(at) > 1 and unit_candidates(side[at], root[at], n[at], [bitmaps[i] for i in at.tolist()], num, den)
+        return given.select(["unit", "side", "node", "root", "n"]).filter(pa.array(keep))
+
+    def join(given: pa.Table) -> pa.Table:
+        nodes, side, root = (given.column(c).to_pylist() for c in ("node", "side", "root"))
+        sets = named_sets(nodes, given.column("text"), words)
+        found = []
+        for at in _units(given):
+            held = {nodes[i]: (side[i], (nodes[i], root[i], sets[nodes[i]])) for i in at.tolist() if nodes[i] in sets}.values()
+            left = [x for s, x in held if s != 1]
+            right = left if all(s == 2 for s, _ in held) else [x for s, x in held if s != 0]
+            found += unit_links(left, right, num, den)
+        return pa.table({"node": pa.array([x[0] for x in found], pa.int64()), "hub": pa.array([x[1] for x in found], pa.int64())})
 
+    dealt = lambda n: F.pmod(F.xxhash64("unit"), F.lit(max(1, n))).cast("int").alias("task")
+    unit = "unit long, side int, node long, root long, n long"
+    held = rows.join(holders.select("node", "n", "bits"), "node").select("unit", "side", "node", "root", "n", "bits")
+    kept = written(held.groupBy(dealt(math.ceil(rows.count() / TASK_ROWS))).applyInArrow(prune, unit), "kept")
+    texts = texts_of(kept.select("node"), holders, docs)
+    elements = kept.agg(F.sum("n")).first()[0] or 0
+    sized = kept.join(texts, "node").select("unit", "side", "node", "root", "text")
+    return written(sized.groupBy(dealt(math.ceil(elements / TASK_ELEMENTS))).applyInArrow(join, "node long, hub long"), "links")
 
-def _by_unit(rows: pa.Table, of: dict) -> dict[tuple, tuple[list, list]]:
-    """(hub, i, j) -> rows of either side as (node, root, *what of has of the node)."""
-    units: dict[tuple, tuple[list, list]] = {}
-    for hub, i, j, side, node, root in zip(*(rows.column(c).to_pylist() for c in ("hub", "i", "j", "side", "node", "root")), strict=True):
-        if node in of:
-            units.setdefault((hub, i, j), ([], []))[side].append((node, root, *of[node]))
-    return {k: v for k, v in units.items() if v[0] and v[1]}
 
+def group_units(groups: DataFrame, hot: DataFrame) -> DataFrame:
+    """(unit, side, node, root) of groups (hub, node, root, first): a unit a group, and for hot ones (hub, chunks) several, the first node in each."""
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = groups.join(few(hot), "hub", "left")
+    chunk = F.when(F.col("first"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
+    rows = dealt.select("hub", "node", "root", F.explode(chunk).alias("i"))
+    return written(rows.select(F.xxhash64("hub", "i").alias("unit"), F.lit(2).alias("side"), "node", "root"), "units")
 
-def _with_task(units: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """units with task, and held (by node) once for each task that has the node."""
-    tasks = max(1, math.ceil(units.count() / TASK_ROWS))
-    units = units.withColumn("task", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(tasks)).cast("int"))
-    named = units.select(F.col("task").alias("t"), F.col("node").alias("node")).distinct()
-    return units, named.join(held, "node")
 
+def hot_hubs(groups: DataFrame) -> DataFrame:
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > UNIT)
+    return written(sizes.select("hub", F.ceil(F.col("n") / UNIT).cast("int").alias("chunks")), "hot")
 
-def named_sets(nodes: list[int], texts: pa.ChunkedArray | pa.Array, words: int) -> dict[int, tuple]:
-    """(set,) of each node, from the rows whose set has its name; a doc_id may have rows of other texts."""
-    sets = ((node, shingles(text.as_py(), words)) for node, text in zip(nodes, texts, strict=True))
-    return {node: (x,) for node, x in sets if name_of(x) == node}
 
+def still_open(groups: DataFrame, hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of hot groups that hold several components, with their roots of now."""
+    rows = with_root(groups.join(few(hot), "hub").select("hub", "node", "first"), roots, "node", "root")
+    apart = rows.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hub")
+    return written(rows.join(few(written(apart, "open-hubs")), "hub"), "open")
 
-def tree_links(pairs: DataFrame, roots: DataFrame, holders: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
-    """Links that stars left open, or None where there are none.
 
-    A hub's blocks are taken together: each of its nodes outside its component meets all its nodes. The trees work on
-    sizes and bitmaps; texts are fetched for nodes that the trees leave, which meet again, on whole sets."""
-    rooted = with_root(with_root(pairs, roots, "node", "root"), roots, "hub", "__h").withColumn("apart", F.col("root") != F.col("__h"))
-    hubs = rooted.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("apart").alias("m")).where("n > 1 and m > 0")
-    sized = hubs.select("hub", F.ceil(F.col("n") / UNIT).cast("int").alias("nb"), F.ceil(F.col("m") / UNIT).cast("int").alias("na"))
-    rows = written(rooted.join(sized, "hub").select("hub", "node", "root", "apart", "na", "nb"), "open")
-    if rows.isEmpty():
-        return None
+def first_groups(keyed: DataFrame) -> DataFrame:
+    """(hub, node, root, first) of rows (key, node): the blocks of one first node, the hub, are a group."""
+    hub = F.min("node").over(Window.partitionBy("key"))
+    pairs = keyed.withColumn("hub", hub).where("node <> hub").select("hub", F.explode(F.array("node", "hub")).alias("node")).distinct()
+    return written(pairs.select("hub", "node", F.col("node").alias("root"), (F.col("node") == F.col("hub")).alias("first")), "groups")
+
+
+def apart_units(rows: DataFrame) -> DataFrame:
+    """Units in which the rows of open groups (hub, node, root, first) outside their hub's component meet all rows of the group."""
+    own = few(written(rows.where("first").select("hub", F.col("root").alias("hub_root")), "hub-roots"))
+    rows = rows.join(own, "hub").withColumn("apart", F.col("root") != F.col("hub_root"))
+    sizes = rows.groupBy("hub").agg(F.ceil(F.count("*") / APART_UNIT).cast("int").alias("nb"), F.ceil(F.count_if("apart") / APART_UNIT).cast("int").alias("na"))
+    rows = rows.join(few(written(sizes, "sizes")), "hub")
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("apart").select("hub", "node", "root", F.lit(0).alias("side"), chunk("na").alias("i"), every("nb").alias("j"))
     right = rows.select("hub", "node", "root", F.lit(1).alias("side"), every("na").alias("i"), chunk("nb").alias("j"))
-    unit = "hub long, i int, j int, side int, node long, root long"
-    kinds = pa.schema([("hub", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("root", pa.int64())])
-
-    def prune(rows: pa.Table, given: pa.Table) -> pa.Table:
-        of = {node: (n, np.frombuffer(x, np.uint64)) for node, n, x in zip(*(given.column(c).to_pylist() for c in ("node", "n", "bits")), strict=True)}
-        out = []
-        for key, sides in _by_unit(rows, of).items():
-            for side, places in enumerate(unit_candidates(*sides, num, den)):
-                out += [(*key, side, *sides[side][k][:2]) for k in sorted(places)]
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds.types, strict=True)], schema=kinds)
-
-    units, held = _with_task(written(left.unionByName(right), "units"), holders.select("node", "n", "bits"))
-    kept = written(units.groupBy("task").cogroup(held.groupBy("t")).applyInArrow(prune, unit), "kept")
-    if kept.isEmpty():
-        return None
+    return written(left.unionByName(right).select(F.xxhash64("hub", "i", "j").alias("unit"), "side", "node", "root"), "units")
 
-    def join(rows: pa.Table, given: pa.Table) -> pa.Table:
-        sets = named_sets(given.column("node").to_pylist(), given.column("text"), words)
-        found = [x for left, right in _by_unit(rows, sets).values() for x in unit_links(left, right, num, den)]
-        return pa.table({"node": pa.array([x[0] for x in found], pa.int64()), "hub": pa.array([x[1] for x in found], pa.int64())})
 
-    units, held = _with_task(kept, texts_of(kept.select("node"), holders, docs))
-    return written(units.groupBy("task").cogroup(held.groupBy("t")).applyInArrow(join, "node long, hub long"), "tree-links")
+def node_links(docs: DataFrame, holders_of, words: int, num: int, den: int) -> DataFrame | None:
+    """(node, hub): edges whose components are those of all links."""
+    groups = first_groups(block_keys(docs, words, num, den))
+    if groups.isEmpty():
+        return None
+    holders = holders_of(groups.select("node").distinct())
+    hot = hot_hubs(groups)
+    links = tree_join(group_units(groups, hot), holders, docs, words, num, den)
+    if hot.isEmpty():
+        return links
+    roots = connected(links)
+    edges = roots.select("node", F.col("root").alias("hub"))
+    rows = still_open(groups, hot, roots)
+    return edges if rows.isEmpty() else edges.unionByName(tree_join(apart_units(rows), holders, docs, words, num, den))
 
 
 def components(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach, its own included."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(document_sets(docs, words), "sets")
-    by_key = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = block_keys(docs, words, num, den).withColumn("hub", F.first("node").over(by_key)).where("node <> hub")
-    pairs = written(stars.select("node", "hub").distinct(), "pairs")
-    needed = pairs.select("node").unionAll(pairs.select(F.col("hub").alias("node"))).distinct()
-    owned = sets.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    holders = written(owned.join(needed, "node", "left_semi"), "holders")
-    near = written(possible(pairs, holders, num, den), "near")
-    texts = texts_of(near.select("node").unionAll(near.select(F.col("hub").alias("node"))), holders, docs)
-    links = written(verified(near, texts, words, num, den), "links")
-    roots = connected(links)
-    more = tree_links(pairs, roots, holders, docs, words, num, den)
-    if more is not None and not more.isEmpty():
-        roots = connected(links.unionByName(more))
-    sets = sets.drop("bits")
-    named = with_root(sets.where("node is not null and doc_id is not null"), roots, "node", "root")
+    owned = sets.where("doc_id is not null and node is not null")
+    by_node = owned.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    edges = node_links(docs, lambda nodes: written(by_node.join(nodes, "node", "left_semi"), "holders"), words, num, den)
     # rows of one id stand together: its sets' components are one
-    ids = named.groupBy("doc_id").agg(F.min("root").alias("first"), F.max("root").alias("last"))
-    split = written(ids.where("first <> last").join(named, "doc_id").select(F.col("root").alias("node"), F.col("first").alias("hub")).distinct(), "split-ids")
-    if not split.isEmpty():
-        named = with_root(named.withColumnRenamed("root", "node1"), connected(split), "node1", "root").drop("node1")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(smallest, "root").select("doc_id", "node", "component_id").distinct()
-    joined = sets.alias("s").join(found.alias("f"), (F.col("s.doc_id") == F.col("f.doc_id")) & (F.col("s.node") == F.col("f.node")), "left")
-    return joined.select("s.doc_id", "s.n_shingles", F.coalesce("f.component_id", "s.doc_id").alias("component_id"))
+    split = owned.groupBy("doc_id").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+    same = written(split.join(owned.select("doc_id", "node"), "doc_id").select("node", "hub").where("node <> hub"), "split-ids")
+    edges = same if edges is None else edges.unionByName(same)
+    # of a node that is linked or held by several documents: the smallest doc_id of its component
+    sizes = owned.groupBy("node").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last"))
+    rooted = written(connected(edges).join(sizes.select("node", "own"), "node"), "rooted")
+    smallest = written(rooted.groupBy("root").agg(F.min("own").alias("least")), "smallest")
+    reached = rooted.join(few(smallest), "root").select("node", "least")
+    named = sizes.join(reached, "node", "left").where("least is not null or own <> last")
+    named = written(named.select("node", F.coalesce("least", "own").alias("component_id")), "components")
+    joined = sets.drop("bits").join(few(named), "node", "left")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return joined.select("doc_id", "n_shingles", found.alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -464,5 +493,6 @@ def one_of_each(documents: DataFrame, words: int, num: int, den: int) -> DataFra
     if again.isEmpty():
         return kept
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    first = kept.join(again, "doc_id", "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
+    place = unused("__k", kept)
+    first = kept.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
     return kept.join(again, "doc_id", "left_anti").unionByName(first)
