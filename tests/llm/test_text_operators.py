@@ -1,3 +1,4 @@
+import time
 import base64
 import hashlib
 import random
@@ -189,3 +190,24 @@ def test_articles_of_the_tables_are_whole():
     for (page,) in rows:
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", re.search("<article>(.*?)</article>", page, re.S)[1])]
         assert html_text.main_text(page) == " ".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>One<p class="note alert">Two<p>Three<p>Four</article>', "One Two Three Four"),
+        ('<ul><li class="comment">one<li class="comment">two<li>three</ul><p>This is the long paragraph of the page that stays.', "three This is the long paragraph of the page that stays."),
+        ('<p class="comments">x<p>This is the long paragraph of the page that stays.<div>And more of the same main text</div>', "This is the long paragraph of the page that stays. And more of the same main text"),
+        ('<p>Some text of a page long enough to stay</p><a "b', 'Some text of a page long enough to stay <a "b'),
+        ('<p>Some text of a page long enough to stay</p><p class="x>y</p>', "Some text of a page long enough to stay y"),
+    ],
+)
+def test_unclosed_tags(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<li class="comments">', "<nav><article>", '<div class="menu">', "<!--", '<p class="notice">x</p></i>', "<a '\"><b \"'>"])
+def test_extraction_is_linear(piece):
+    begin = time.perf_counter()
+    html_text.main_text(piece * (250_000 // len(piece)))
+    assert time.perf_counter() - begin < 5

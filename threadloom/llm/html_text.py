@@ -8,13 +8,17 @@ id and role names are hints: a named block goes only where it is mostly links or
 Inside an article or main element all lines are text but dropped elements and confirmed hints; other segments must surge.
 
 Cases: null html is empty; a page without text gives an empty string; repeated rows each give a row; nulls in url are
-kept; other columns are not read; no text is cut. Unclosed boilerplate ends where an article or main element begins.
+kept; other columns are not read; no text is cut. Unclosed boilerplate ends where an article or main element begins, and unclosed
+paragraphs, list items and table cells where the next one begins or their list or table ends. A tag with an unbalanced quote that no
+> outside quotes follows ends at the next >, as do all tags after it; without any the rest of the page is text. Work is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,11 +48,52 @@ NAMES = {
 OTHERS = {"comment", "comments", "commentlist", "comment-list", "disqus", "disqus_thread"}
 OTHER_ARTICLES = OTHERS | {"related", "recommended", "related-posts", "related-articles", "reply", "replies", "teaser"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Elements whose end may be left out: what begins or ends beside them closes them, unless one of the holders was opened inside.
+IMPLIED = {"p": BREAKS - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+HOLDERS = {"ul", "ol", "dl", "table", "div", "section", "article", "blockquote"}
+
+_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name in lower case, closing, attributes) of each tag, comment and declaration; the latter two have no name. Send a place to go on from there."""
+    at, plain, n = 0, False, len(page)
+    while (begin := page.find("<", at)) >= 0:
+        jump = None
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else n
+            jump = yield begin, at, "", False, ""
+        elif page.startswith(("<!", "<?"), begin):
+            at = page.find(">", begin) + 1 or n
+            jump = yield begin, at, "", False, ""
+        elif m := _NAME.match(page, begin + 1):
+            whole = None if plain else _ATTRIBUTES.match(page, m.end())
+            if not whole:
+                plain = True  # one scan to the end of the page at most
+            end = whole.end() if whole else page.find(">", m.end()) + 1
+            if not end:
+                return
+            at = end
+            jump = yield begin, end, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+        else:
+            at = begin + 1
+        if jump is not None:
+            at = jump
+            yield at, at, "", False, ""
+
+
+def tag_places(page: str) -> dict[str, tuple[list[int], list[int]]]:
+    """Places of the opening and the closing tags of each name."""
+    found: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for m in re.finditer(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)", page):
+        found[m[2].lower()][len(m[1])].append(m.start())
+    return found
+
+
 class Line(NamedTuple):
     text: str
     linked: int = 0
@@ -76,10 +121,21 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
     hints: list[tuple[int, int]] = []
     words: list[str] = []
     boxes: list[tuple[str, str]] = []  # open containers
-    hinted: list[list] = []  # name, depth, begin
+    hinted: list[tuple[str, int, int, int]] = []  # name, how many of the name are open, open holders, begin
+    named: dict[str, list[int]] = defaultdict(list)  # places in hinted by name
+    count: dict[str, int] = defaultdict(int)  # open elements
+    holders = 0
     linked, in_link, landmark, at = 0, 0, 0, 0
     heading = False
-    skip, depth, closed = "", 0, False
+    skip, depth, closed, inside = "", 0, False, 0
+    places: dict = {}
+
+    def end_hint(k: int) -> None:
+        line()
+        hints.extend((x[3], len(lines)) for x in hinted[k:])
+        while len(hinted) > k:
+            named[hinted.pop()[0]].pop()
+        blank()
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -101,29 +157,30 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
         if lines and lines[-1].text:
             lines.extend([Line("", landmark=landmark > 0)] * WINDOW)
 
-    n, search, lowered = len(page), _TOKEN.search, ""
-    while at < n:
-        m = search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    n, lowered = len(page), ""
+    walk = tokens(page)
+    for begin, end, name, closing, attributes in walk:
+        text(page[at:begin])
+        at = end
         if not name:
             continue
-        closing, attributes = bool(m[1]), m[3]
         alone = name in VOID or attributes.endswith("/")
         if name in RAW and not closing:
             lowered = lowered or page.lower()
-            end = lowered.find("</" + name, at) if len(lowered) == n else -1
-            end = end if end >= 0 else (re.compile("</" + name, re.I).search(page, at) or re.compile(r"\Z").search(page, at)).start()
-            at = end
+            found = lowered.find("</" + name, at) if len(lowered) == n else -1
+            at = found if found >= 0 else (re.compile("</" + name, re.I).search(page, at) or re.compile(r"\Z").search(page, at)).start()
+            walk.send(at)
             continue
+        if skip and not inside and (name in IMPLIED.get(skip, ()) and not closing or closing and skip in IMPLIED and name in HOLDERS):
+            skip = ""  # its end tag was left out
         if skip:
+            if name in HOLDERS and name != skip and not alone:
+                inside = max(0, inside + (-1 if closing else 1))
             if name in ("article", "main") and not closing and skip != name and not closed:
-                tags = re.findall(rf"<(/?){skip}\b", page[at:], re.I)
-                closed = 2 * tags.count("/") - len(tags) >= depth
+                places = places or tag_places(page)
+                opens, closes = places[skip]
+                after = lambda x: len(x) - bisect_left(x, at)
+                closed = after(closes) - after(opens) >= depth
                 skip = skip if closed else ""
             elif name == skip:
                 depth += -1 if closing else 0 if alone else 1
@@ -135,8 +192,12 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
         if not closing and not alone and _dropped(name, attributes, landmark):
             line()
             blank()
-            skip, depth, closed = name, 1, False
+            skip, depth, closed, inside = name, 1, False, 0
             continue
+        if hinted and hinted[-1][2] == holders and (name in IMPLIED.get(hinted[-1][0], ()) and not closing or closing and hinted[-1][0] in IMPLIED and name in HOLDERS):
+            end_hint(len(hinted) - 1)
+        if name in HOLDERS and not alone:
+            holders = max(0, holders + (-1 if closing else 1))
         if name in BREAKS:
             line()
             heading = name in HEADINGS and not closing
@@ -153,20 +214,21 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
             in_link = 0 if closing else 1
         if alone:
             continue
-        for h in hinted:
-            h[1] += (-1 if closing else 1) if h[0] == name else 0
-        if closing and (ended := next((k for k, h in enumerate(hinted) if h[1] == 0), None)) is not None:
-            line()
-            hints += [(begin, len(lines)) for _, _, begin in hinted[ended:]]
-            del hinted[ended:]
-            blank()
-        if not closing and name not in ("article", "main", "body", "html") and _words(attributes) & NAMES:
-            line()
-            blank()
-            hinted.append([name, 1, len(lines)])
-            heading = name in HEADINGS
+        if not closing:
+            count[name] += 1
+            if name not in ("article", "main", "body", "html") and _words(attributes) & NAMES:
+                line()
+                blank()
+                named[name].append(len(hinted))
+                hinted.append((name, count[name], holders, len(lines)))
+                heading = name in HEADINGS
+        elif count[name]:
+            if named[name] and hinted[named[name][-1]][1] >= count[name]:
+                end_hint(named[name][-1])
+            count[name] -= 1
+    text(page[at:])
     line()
-    hints += [(begin, len(lines)) for _, _, begin in hinted]
+    hints += [(x[3], len(lines)) for x in hinted]
     return lines, hints
 
 
