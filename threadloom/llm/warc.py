@@ -7,7 +7,8 @@ and payload digests are checked. Neither side holds more than one record and one
 
 Cases: null html is an empty payload; equal payloads share one response, the row of smallest page_id, and rows that
 repeat this page_id are responses as well; a null page_id is always a response, and never what others refer to; a null
-url is left out of the record; other columns are not read; an empty table gives no archives and no rows.
+url is left out of the record; other columns are not read; an empty table gives no archives and no rows. A record's id
+is made of page_id and payload digest, so that a revisit can name its response; rows that repeat both repeat the id.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import fresh_path, written
 
 ROLL_BYTES = 256 << 20
 READ_BYTES = 1 << 20
+#: Repeated payloads of a broadcast at most (some 60 bytes each); beyond, pages are joined with them by a shuffle.
+BROADCAST_DIGESTS = 500_000
 LEVEL = 3
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -35,18 +38,22 @@ def b32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def record_id(page_id, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One record's bytes, not compressed. A revisit keeps the HTTP head and drops the body."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}"]
-    lines += [f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{url}:{digest}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines += [f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if url is not None:
         lines.append("WARC-Target-URI: " + url.encode("unicode_escape").decode())
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Block-Digest: sha1:{b32(block)}", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -64,7 +71,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         path, out, size, n = "", None, 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist()):
                 if out is None:
                     path, size, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(path, compression=None)
@@ -146,18 +153,19 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, payload_digest, refers_to): which record each page's payload revisits, if any.
 
-    Digests are SHA-1, as the format has them, joined with the payload's size. Only digests that occur twice are
-    joined back, on a row each, so a payload that a third of the pages share is a skewed probe side and no group.
+    Digests are SHA-1, as the format has them, joined with the payload's size. Digests are counted without payloads, and those that
+    occur twice are broadcast while they are few, so payloads stay in the task that read them.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sha = F.sha1(payload)
+    sha = F.unhex(F.sha1(payload))
     size = F.octet_length(payload)
     first = pages.select("page_id", sha.alias("sha"), size.alias("size")).where(F.col("size") >= min_bytes)
     first = first.groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    first = written(first.drop("n"), "repeated")
     rows = pages.select("page_id", "url", payload.alias("payload"), sha.alias("sha"), size.alias("size"))
     refers = F.when(F.col("page_id") != F.col("first_id"), F.col("first_id"))
-    joined = rows.join(first.drop("n"), ["sha", "size"], "left")
-    return joined.select("page_id", "url", "payload", base32_of_hex(F.col("sha")).alias("payload_digest"), refers.alias("refers_to"))
+    joined = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, ["sha", "size"], "left")
+    return joined.select("page_id", "url", "payload", base32_of_hex(F.hex("sha")).alias("payload_digest"), refers.alias("refers_to"))
 
 
 def base32_of_hex(hexed):
