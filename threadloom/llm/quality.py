@@ -1,21 +1,24 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; the unlabelled side is a sample of labelled rows with the label
-hidden; the class prior is estimated as the share of positives among labelled rows of the training folds. A network with one
-hidden layer minimises the non-negative unbiased risk
+Trusted positives are labelled rows of quality 1; the unlabelled side is a sample of documents of the training folds that have
+no label. Labels of quality 0 are never looked at. The class prior is estimated from both sides alone: a classifier of positives
+against unlabelled rows is fitted on one half of them, the other half is ordered by its scores, and the prior is the least ratio, over
+the thresholds, of the shares of unlabelled and of positive rows above a threshold (the best bin, with its confidence bound). A network with one
+hidden layer then minimises the non-negative unbiased risk
 
     prior * E_p[l(f, 1)] + max(0, E_u[l(f, 0)] - prior * E_p[l(f, 0)]),   l the logistic loss,
 
 so that its sigmoid estimates P(positive). Inputs are statistics of the whole text alone.
 
-The fit takes at most ``SAMPLE_ROWS`` labelled rows on either side, the first by a hash of their id; every document is
-scored. Cases: null and empty texts have statistics of zero words and so a score; without positives to learn from
-every score is the prior, or 0.5 where nothing is labelled; a null id is never held out; repeated rows each give a row;
+The fit takes at most ``SAMPLE_ROWS`` documents on either side, the first by a hash of their id; every document is
+scored. Cases: null and empty texts have statistics of zero words and so a score; where either side is empty every score is 0.5;
+a null id is never held out and never sampled; repeated rows each give a row, and of rows of one id one is sampled;
 labels of unknown documents are not used; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -26,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS, CUT, SEED = 5, 0.3, 7
-#: Labelled rows of the fit at most: positives, and as many unlabelled ones.
+#: Documents of the fit at most: positives, and as many unlabelled ones.
 SAMPLE_ROWS = 6000
+#: Chance that the bound of a bin is wrong, and least prior.
+DOUBT, LEAST_PRIOR = 0.1, 0.05
 HIDDEN, STEPS, BATCH, LEARNING_RATE, DECAY = 16, 1500, 512, 0.01, 1e-4
 
 _CLASS = np.zeros(256, np.uint8)
@@ -88,27 +93,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
-    """Adam on the non-negative risk. Where its negative part falls under zero, a step follows that part's ascent instead."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = SEED) -> Model:
+    """Adam on the non-negative risk. Where its negative part falls under zero, a step follows that part's ascent instead.
+
+    Without a prior it is fitted to tell positives from unlabelled rows."""
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     rng = np.random.default_rng(seed)
     w = [rng.normal(0, 0.5, (unlabelled.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.5, HIDDEN), np.zeros(())]
     first, second = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     p_all, u_all = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     sigmoid = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    ones, zeros = np.ones(BATCH), np.zeros(BATCH)
     for step in range(1, STEPS + 1):
         p, u = p_all[rng.integers(0, len(p_all), BATCH)], u_all[rng.integers(0, len(u_all), BATCH)]
         x = np.concatenate((p, u))
         hidden = np.tanh(x @ w[0] + w[1])
         f = hidden @ w[2] + w[3]
         s = sigmoid(f)
-        as_zero = np.logaddexp(0, f)
-        negative = as_zero[BATCH:].mean() - prior * as_zero[:BATCH].mean()
-        g_negative = np.concatenate((-prior * s[:BATCH], s[BATCH:])) / BATCH
-        if negative >= 0:
-            g = g_negative + np.concatenate((prior * (s[:BATCH] - 1), np.zeros(BATCH))) / BATCH
+        if prior is None:
+            g = (s - np.concatenate((ones, zeros))) / BATCH
         else:
-            g = -g_negative
+            as_zero = np.logaddexp(0, f)
+            negative = as_zero[BATCH:].mean() - prior * as_zero[:BATCH].mean()
+            g = np.concatenate((-prior * s[:BATCH], s[BATCH:])) / BATCH
+            g = g + np.concatenate((prior * (s[:BATCH] - 1), zeros)) / BATCH if negative >= 0 else -g
         back = np.outer(g, w[2]) * (1 - hidden**2)
         rate = LEARNING_RATE * min(1, 2 * (1 - step / (STEPS + 1)))
         for i, d in enumerate((x.T @ back, back.sum(0), hidden.T @ g, g.sum())):
@@ -116,7 +124,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.999 * second[i] + 0.001 * d * d
             w[i] = w[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, tuple(w), prior)
+    return Model(mean, scale, tuple(w), 0.5 if prior is None else prior)
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior among the scores of unlabelled rows: the share of them over the share of positives above the threshold where
+    the ratio, with the bound of its error, is least."""
+    thresholds = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), thresholds) / len(x)
+    p, u = above(positive), above(unlabelled)
+    error = math.sqrt(math.log(4 / DOUBT) / 2 / len(positive)) + math.sqrt(math.log(4 / DOUBT) / 2 / len(unlabelled))
+    best = int(np.argmin((u + error) / p))
+    return float(np.clip(u[best] / p[best], LEAST_PRIOR, 0.99))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """best_bin over scores of halves that took no part in their classifier, the mean of both ways round."""
+    halves = [(x[::2], x[1::2]) for x in (positive, unlabelled)]
+    if min(len(h) for pair in halves for h in pair) == 0:
+        return 0.5
+    found = []
+    for one in (0, 1):
+        told = fit(halves[0][one], halves[1][one], None)
+        found.append(best_bin(*(told.logits(h[1 - one]) for h in halves)))
+    return sum(found) / 2
 
 
 def fold(id_col: Column) -> Column:
@@ -124,27 +155,25 @@ def fold(id_col: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on labelled rows of the training folds; what reaches the driver is at most 2 * sample_rows rows of statistics."""
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = usable.agg(F.avg("quality").alias("prior"), F.count("*").alias("n")).first()
-    if not share["n"]:
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), (), 0.5)
-    prior = float(share["prior"])
-    pick = lambda df, seed, side: df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.lit(side).alias("side"))
-    sample = pick(usable.where("quality = 1"), 1, 1).unionByName(pick(usable, 2, 0))
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("side", "text")  # at most 2 * sample_rows ids
+    """Fits on documents of the training folds; what reaches the driver is at most 2 * sample_rows rows of statistics."""
+    rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = documents.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id")
+    pick = lambda df, side: df.distinct().orderBy(F.xxhash64(F.lit(side), "doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.lit(side).alias("side"))
+    sample = pick(ids.join(rated.where("quality = 1"), "doc_id", "left_semi"), 1).unionByName(pick(ids.join(rated, "doc_id", "left_anti"), 0))
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "side", "text")  # at most 2 * sample_rows ids
+    kind = documents.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[float(v) for v in statistics(t or "")] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["side", "x"])
+            rows = [[float(v) for v in statistics(t or "")] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "side", "x"])
 
-    rows = sorted((r["side"], r["x"]) for r in texts.mapInArrow(run, "side int, x array<double>").collect())
+    held = texts.mapInArrow(run, f"doc_id {kind}, side int, x array<double>").groupBy("doc_id", "side").agg(F.min("x").alias("x"))
+    rows = [(r["side"], r["x"]) for r in held.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     sides = [np.array([x for s, x in rows if s == side]) for side in (1, 0)]
     if not len(sides[0]) or not len(sides[1]):
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), (), prior)
-    return fit(sides[0], sides[1], min(prior, 0.99))
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), (), 0.5)
+    return fit(*sides, estimated_prior(*sides))
 
 
 def score_documents(documents: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
