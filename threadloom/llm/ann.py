@@ -3,7 +3,7 @@
 Vectors are dealt to blocks by a hash of their id. A block projects its vectors on random directions and keeps each
 projection as a sorted array. A query opens a window around its own projection in each array; windows widen together,
 as if rehashed at a larger radius, and only what newly enters is counted. A vector that lies in enough windows is
-verified by its exact distance. A query stops in a block when its k-th verified distance is within the radius that the
+verified by its exact distance; that is a few percent of a block's vectors. A query stops in a block when its k-th verified distance is within the radius that the
 windows stand for, or when the windows hold the whole block. Candidates are never capped, so the only misses
 are near vectors that fall outside too many windows; each block's best k meet in one ranking a query.
 
@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PROJECTIONS, WIDTH, THRESHOLD, GROWTH, SEED = 20, 2.7, 0.65, 1.3, 20_240
+PROJECTIONS, WIDTH, THRESHOLD, GROWTH, SEED = 256, 2.0, 0.645, 1.04, 20_240
 #: Rows of a block of vectors, and of a block of queries.
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+BLOCK_ROWS, QUERY_ROWS = 16_384, 8192
 
 
 def usable(vector: Column) -> Column:
@@ -36,53 +36,56 @@ def usable(vector: Column) -> Column:
 
 
 class Index:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors; verified counts the vectors that its searches compared exactly."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
         self.ids, self.vectors = ids, vectors
-        self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
+        self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], projections))
         projected = vectors @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(projected.T, self.order, 1)
-        spread = float(np.median(projected.std(0))) or 1.0
-        self.least = self.floor = spread / 4
+        order = np.argsort(projected, axis=0, kind="stable")
+        by_rank = np.take_along_axis(projected, order, 0).T
+        # the arrays stand one behind another, each lifted over the one before, so that one search places all windows
+        self.low, self.high = by_rank[:, 0].copy(), by_rank[:, -1].copy()
+        span = float((self.high - self.low).max()) + 1.0
+        self.lift = np.arange(projections) * 2 * span - self.low
+        self.sorted = (by_rank + self.lift[:, None]).ravel()
+        self.order = np.ascontiguousarray(order.T.astype(np.int32)).ravel()
+        self.begins = np.arange(projections) * len(ids)
+        self.floor = max(float(np.median(projected.std(0))) / 16, 1e-12)
+        self.least = self.floor
+        self.verified = 0
+
+    def _places(self, values: np.ndarray, side: str) -> np.ndarray:
+        """The place of values[j] in array j."""
+        return np.searchsorted(self.sorted, np.clip(values, self.low - 0.25, self.high + 0.25) + self.lift, side)
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(distances, ids) of the k nearest found, own id left out, nearest first."""
-        n = len(self.ids)
+        n, m = len(self.ids), len(self.begins)
         at = query @ self.directions
-        need = math.ceil(THRESHOLD * PROJECTIONS)
+        need = math.ceil(THRESHOLD * m)
         counts = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(PROJECTIONS)])
-        high = low.copy()
+        low = high = self._places(at, "left")
         distance = np.full(n, np.inf)
         seen = self.ids == own
-        radius = self.least
-        last = 0.0
+        self.verified -= int(seen.sum())
+        radius, last = self.least, 0.0
         while True:
             half = WIDTH * radius / 2
-            whole = True
-            for j in range(PROJECTIONS):
-                row, order = self.sorted[j], self.order[j]
-                a, b = int(np.searchsorted(row, at[j] - half)), int(np.searchsorted(row, at[j] + half, "right"))
-                a, b = min(a, low[j]), max(b, high[j])
-                if a < low[j]:
-                    counts[order[a : low[j]]] += 1
-                if b > high[j]:
-                    counts[order[high[j] : b]] += 1
-                low[j], high[j] = a, b
-                whole &= a == 0 and b == n
+            a, b = np.minimum(self._places(at - half, "left"), low), np.maximum(self._places(at + half, "right"), high)
+            for i, j in zip(np.concatenate((a, high)).tolist(), np.concatenate((low, b)).tolist(), strict=True):
+                if i < j:
+                    counts[self.order[i:j]] += 1  # an array holds a vector once
+            low, high = a, b
             fresh = np.flatnonzero((counts >= need) & ~seen)
             if len(fresh):
                 seen[fresh] = True
                 gap = self.vectors[fresh] - query
                 distance[fresh] = np.sqrt((gap * gap).sum(1))
-            if whole:
-                break
-            near = np.count_nonzero(distance <= radius)
-            if near >= k:
+            if np.count_nonzero(distance <= radius) >= k or int((b - a).min()) == n:
                 break
             last, radius = radius, radius * GROWTH
+        self.verified += int(seen.sum())
         self.least = max(self.floor, 0.8 * (last or radius / GROWTH))  # where the next query begins
         found = np.flatnonzero(np.isfinite(distance))
         if len(found) > k:
