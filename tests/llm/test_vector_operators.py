@@ -48,13 +48,51 @@ def test_hysteresis_and_spans():
     assert [round(a * media.RATE) for a, _ in media.spans(on)] == [2 * media.HOP, 7 * media.HOP]
 
 
-def test_tensors_have_one_shape(spark):
-    df = spark.createDataFrame([(1, "abc " * 3000), (2, "")], "doc_id long, text string")
-    rows = media.tensors(media.encode(df)).orderBy("doc_id", "block")
-    table = pa.Table.from_batches([pa.RecordBatch.from_pylist([r.asDict() for r in rows.collect()])])
-    tensors = media.as_tensor_array(table.column("log_mel").cast(pa.list_(pa.float32())))
-    assert tensors.type.shape == list(media.SHAPE) and len(tensors) == table.num_rows > 2
-    assert all(b["begin_s"] < b["end_s"] for b in table.to_pylist())
+def plain_log_mel(payload):
+    """Log-mels by zero stuffing, one long convolution and a DFT matrix."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    stuffed = np.zeros(len(x) * media.UP)
+    stuffed[:: media.UP] = x
+    n = media.TAPS * media.UP
+    t = np.arange(n) - (n - 1) / 2
+    h = np.sinc(t / media.DOWN) * np.hamming(n)
+    first = n // 2 - media.UP  # the taps before an output's own input
+    y = np.convolve(stuffed, h / h.sum() * media.UP)[first :: media.DOWN][: len(x) * media.UP // media.DOWN]
+    y = np.pad(y, (0, max(0, media.FRAME - len(y))))
+    k = np.arange(media.FRAME)
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), k) / media.FRAME)
+    frames = [y[i : i + media.FRAME] for i in range(0, len(y) - media.FRAME + 1, media.HOP)]
+    return np.array([np.log(np.abs(dft @ (f * np.hanning(media.FRAME))) ** 2 @ media._mel() + 1e-6) for f in frames])
+
+
+@pytest.mark.parametrize("text", ["", "abc " * 3000, "Some text, with é and others. " * 40])
+def test_stored_tensors_equal_a_plain_computation(text):
+    payload = media.padded(text.encode())
+    table = media.read_tensors(media.stored_tensors(media.tensor_table(payload)))
+    tensors = table.column("log_mel")
+    assert tensors.type.shape == list(media.SHAPE)
+    got = np.concatenate([x.to_numpy_ndarray() for x in tensors.chunks]).reshape(-1, media.MELS)
+    want = plain_log_mel(payload)
+    assert sum(table.column("frames").to_pylist()) == len(want)
+    assert np.abs(got[: len(want)] - want).max() < 0.05 and not got[len(want) :].any()
+    rows = table.to_pylist()
+    assert [r["begin_s"] for r in rows] == [i * media.SHAPE[0] * media.HOP / media.RATE for i in range(len(rows))]
+    assert all(abs(r["end_s"] - r["begin_s"] - ((r["frames"] - 1) * media.HOP + media.FRAME) / media.RATE) < 1e-9 for r in rows)
+    feature = dict(x.split("=") for x in media.summary(table).split(";"))
+    assert feature["frames"] == str(len(want)) and feature["active"] == str(int(media.active(media.log_mel(media.resampled(payload))).sum()))
+
+
+def test_collision_counting_verifies_few():
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((ann.BLOCK_ROWS, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    index, ids, hits = ann.Index(np.arange(len(vectors)), vectors), range(0, len(vectors), 400), 0
+    for i in ids:
+        gap = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
+        gap[i] = np.inf
+        hits += len(set(np.argsort(gap)[:10].tolist()) & set(index.search(i, vectors[i], 10)[1].tolist()))
+    assert hits / len(ids) / 10 >= 0.9
+    assert index.verified / len(ids) / len(vectors) < 0.1
 
 
 def test_recall_against_brute_force(spark):
@@ -119,6 +157,15 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a.layers, b.layers, strict=True))
 
 
+def test_prior_is_found_without_negatives():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.85):
+        positive = rng.normal(1, 0.5, (1500, 4))
+        hidden = rng.random(1500) < share
+        unlabelled = np.where(hidden[:, None], rng.normal(1, 0.5, (1500, 4)), rng.normal(-1, 0.5, (1500, 4)))
+        assert abs(quality.estimated_prior(positive, unlabelled) - hidden.mean()) < 0.06
+
+
 def test_quality_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "text of a null id"), (3, "word " * 50_000), (3, "word " * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
@@ -127,7 +174,7 @@ def test_quality_edge_cases(spark):
     got = quality.score_documents(df, model).collect()
     assert len(got) == 5 and all(r.score == 0.5 and r.predicted == 1 for r in got)
     negative = spark.createDataFrame([(3, 0), (3, 0), (None, 1), (99, None)], "doc_id long, quality int")
-    assert all(r.score == 0.0 for r in quality.score_documents(df, quality.train(df, negative)).collect())
+    assert all(r.score == 0.5 for r in quality.score_documents(df, quality.train(df, negative)).collect())  # negatives are not looked at
     kept = quality.keep_predicted(df, model)
     assert kept.columns == df.columns and kept.count() == 5
     assert quality.score_documents(df.limit(0), model).count() == 0

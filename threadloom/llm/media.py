@@ -2,7 +2,8 @@
 
 ``encode`` stores bytes losslessly as a mono 8-bit PCM WAV of 12 kHz in a binary column. ``features`` reads the
 stored bytes back: polyphase resampling to 8 kHz (up 2, down 3), overlapped Hann frames, log-mel filterbanks and a
-segmentation by frame energy with hysteresis. Log-mels are cut into blocks of a fixed shape, each with its time span.
+segmentation by frame energy with hysteresis. Log-mels are cut into blocks of a fixed shape, each with its time span, and stored
+as Arrow's fixed-shape tensors, an IPC stream a document; ``digest_media`` reads them back.
 
 Cases: null text is empty, and an empty payload is padded to one unit; equal payloads have equal results, as each is
 computed alone, in blocks counted from its own start; very long payloads are resampled and framed block by block;
@@ -21,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import written
+
 UNIT, PAD = 192, b" "
 RATE_STORED, RATE = 12_000, 8_000
 UP, DOWN, TAPS = 2, 3, 16
@@ -144,61 +147,79 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-def tensors(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, block, begin_s, end_s, active_frames, log_mel array<float>) of column media: log_mel has SHAPE, the last one padded with zeros."""
+def tensor_table(payload: bytes) -> pa.Table:
+    """(begin_s, end_s, frames, active_frames, log_mel) of a payload, a row a block: log_mel is a tensor of SHAPE, the last one padded with zeros."""
+    mels = log_mel(resampled(payload))
+    on = active(mels)
+    size, n = SHAPE[0], -(-len(mels) // SHAPE[0])
+    cut = np.zeros((n * size, MELS), np.float16)
+    cut[: len(mels)] = mels
+    begin = np.arange(n) * size
+    end = np.minimum(begin + size, len(mels))
+    flags = np.concatenate((on, np.zeros(n * size - len(on), bool))).reshape(n, size)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(cut.ravel()), SHAPE[0] * SHAPE[1])
+    columns = {
+        "begin_s": pa.array(begin * HOP / RATE),
+        "end_s": pa.array(((end - 1) * HOP + FRAME) / RATE),
+        "frames": pa.array(end - begin, pa.int32()),
+        "active_frames": pa.array(flags.sum(1), pa.int32()),
+        "log_mel": pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float16(), SHAPE), storage),
+    }
+    spanned = spans(on)
+    return pa.table(columns).replace_schema_metadata({"spans": repr(spanned)})
+
+
+def stored_tensors(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def read_tensors(raw: bytes) -> pa.Table:
+    with pa.ipc.open_stream(raw) as stream:
+        return stream.read_all()
+
+
+def summary(table: pa.Table) -> str:
+    """frames, mean log-mel of each band in quarters, active frames, and digests of tensors and of time spans, as one string."""
+    mels = np.concatenate([x.storage.flatten().to_numpy(zero_copy_only=False) for x in table.column("log_mel").chunks]).reshape(-1, MELS)
+    frames = int(sum(table.column("frames").to_pylist()))
+    levels = ",".join(str(int(v)) for v in np.rint(mels[:frames].mean(0, dtype=np.float64) * 4))
+    times = repr((table.column("begin_s").to_pylist(), table.column("end_s").to_pylist(), table.schema.metadata[b"spans"]))
+    digest = lambda b: hashlib.md5(b).hexdigest()[:16]
+    return f"frames={frames};mel={levels};active={sum(table.column('active_frames').to_pylist())};tensors={digest(mels.tobytes())};spans={digest(times.encode())}"
+
+
+def store_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digests of the column media of encode() and of the payload read back from it, and its tensors as an Arrow IPC stream in column tensors."""
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = SHAPE[0]
         for batch in batches:
-            for k in range(batch.num_rows):
-                mels = log_mel(resampled(samples(batch.column(1)[k].as_py())))
-                on = active(mels)
-                n = -(-len(mels) // size)
-                for i in range(0, n, 256):
-                    rows = range(i, min(n, i + 256))
-                    cut = np.zeros((len(rows) * size, MELS), np.float32)
-                    part = mels[i * size : (i + len(rows)) * size]
-                    cut[: len(part)] = part
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * size * MELS), pa.array(cut.ravel()))
-                    begin = [r * size * HOP / RATE for r in rows]
-                    end = [((min(len(mels), (r + 1) * size) - 1) * HOP + FRAME) / RATE for r in rows]
-                    frames = [int(on[r * size : (r + 1) * size].sum()) for r in rows]
-                    ids = pa.array([batch.column(0)[k].as_py()] * len(rows), batch.column(0).type)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(list(rows), pa.int32()), pa.array(begin, pa.float64()), pa.array(end, pa.float64()), pa.array(frames, pa.int32()), flat], names=[id_col, "block", "begin_s", "end_s", "active_frames", "log_mel"])
+            for i in range(0, batch.num_rows, 64):
+                part, rows = batch.slice(i, 64), []
+                for n, media in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                    media = media.as_py()
+                    payload = samples(media)
+                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), stored_tensors(tensor_table(payload))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, "media").mapInArrow(run, f"`{id_col}` {kind}, block int, begin_s double, end_s double, active_frames int, log_mel array<float>")
-
-
-def as_tensor_array(lists: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
-    """The log_mel column of collected Arrow data as Arrow's fixed-shape tensors."""
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    storage = pa.FixedSizeListArray.from_arrays(lists.flatten(), SHAPE[0] * SHAPE[1])
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), storage)
-
-
-def summary(payload: bytes) -> str:
-    """frames, mean log-mel of each band in quarters, segments and a digest of their spans, as one string."""
-    mels = log_mel(resampled(payload))
-    on = spans(active(mels))
-    levels = ",".join(str(int(v)) for v in np.rint(mels.mean(0, dtype=np.float64) * 4))
-    return f"frames={len(mels)};mel={levels};segments={len(on)};spans={hashlib.md5(repr(on).encode()).hexdigest()[:16]}"
+    return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary")
 
 
 def digest_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests of the column media of encode(), and of what is read back from it, with a summary of its features."""
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    """store_features() of column media, written to the shared folder, with the tensors read back from there as a summary in column feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, media in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                media = media.as_py()
-                payload = samples(media)
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(payload)))
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=names)
-
-    kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                features = [summary(read_tensors(x)) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(features, pa.string())], names=[*part.schema.names[:-1], "feature"])
+
+    kept = written(store_features(df, id_col), "media")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
+    return kept.mapInArrow(run, f"{columns}, feature string")
