@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import mixing, registry, secrets
+from threadloom.llm import jaccard, mixing, registry, secrets
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,6 +134,49 @@ def test_every_planted_secret_of_the_tables(spark):
     assert want and want <= found
 
 
+def test_findings_of_the_tables_equal_plain_patterns(spark):
+    """Hits and false alarms against labels that patterns of the generator's secrets and look-alikes give."""
+    words = secrets.dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9]{8}|password|token|AKIA'")
+    rows = [(r.doc_id, r.text, x.value, x.is_secret) for r in secrets.scan(docs, words=words).collect() for x in r["__findings"]]
+    named = re.compile(r"""(?:passw(?:or)?d|token|secret|api_?key|pwd)\s*[=:]\s*["']?([^\s"']+)|\b(AKIA[A-Z0-9]{16})\b""", re.I)
+    secret = {(d, next(g for g in m.groups() if g)) for d, t, _, _ in rows for m in named.finditer(t)}
+    told = {(d, v) for d, _, v, is_secret in rows if is_secret}
+    clean = {(d, v) for d, _, v, _ in rows if re.fullmatch(r"[0-9 -]+|[^@ ]+@[^@ ]+", v)}
+    assert len(secret) > 50 and len(secret & told) / len(secret) >= 0.98
+    assert len(clean) > 100 and not clean & told
+    assert len(told - secret) / len(told) <= 0.02
+
+
+@pytest.mark.parametrize("words", ["short", "long"])
+def test_dictionaries(spark, words):
+    known = secrets.WORDS if words == "short" else secrets.dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    got = secrets.judged(spark, secrets.labelled_findings(300, seed=7, words=known), words=known)
+    assert got["misses"] + got["false_alarms"] <= 20
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rows = [(i, f"text {i} password=Zx81kkq9abc", "en", "s", 0) for i in range(6)]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in ("__findings", "__leaf", "__copies", "__k", "__plan", "__row", "domain", "tokens"):
+        df = df.withColumn(c, F.lit(c))
+    for out in (secrets.redacted(df), mixing.mixture(df, mixing.Plan(num=1, den=1, epochs=1)), jaccard.one_of_each(df, 5, 80, 100)):
+        got = out.collect()
+        assert out.columns == df.columns and got
+        assert all(r[c] == c for r in got for c in df.columns[5:])
+
+
+def test_scanning_is_linear(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "password " + " ".join(f"key{i:06d}abc{i}x" for i in range(n)))], "doc_id long, text string")
+        begin = time.perf_counter()
+        secrets.scan(df).select(F.size("__findings")).collect()
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(16_000) < 5 * seconds(4000) + 3
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = [docs.count()]

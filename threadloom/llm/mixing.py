@@ -129,6 +129,7 @@ def with_copies(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def mixture(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The mixed corpus: the columns of docs, each row as often as the mixture has it."""
-    taken = with_copies(docs, plan).where("__copies > 0")
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed corpus: the columns of docs, whatever their names, each row as often as the mixture has it."""
+    packed = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("__row"))
+    taken = with_copies(packed, plan).where("__copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__k")).select("__row.*")

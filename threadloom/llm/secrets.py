@@ -7,18 +7,22 @@ here from labelled findings, turns into a SQL expression and scores them. Privat
 Everything works within a row: a text is split only where it has a digit, a credential's name or a key block.
 
 Cases: null and empty texts have no findings; repeated rows each give theirs; ties of the forest (a score of exactly the cut)
-count as secrets; other columns are kept; texts are scanned whole, however long.
+count as secrets; other columns are kept, whatever their names; an empty table stays empty; texts are scanned whole, however long.
 """
 
 from __future__ import annotations
 
+import base64
 import random
+import re
 from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 CUT = 0.5
 TREES, DEPTH, LEAST_ROWS, SEED = 15, 5, 4, 11
 MASK = "<secret>"
@@ -33,6 +37,7 @@ WORDS = (
     "data file name user page index image photo video list test main home item code text info date year month report version release draft final table "
     "model server client service request response config default value number string object class method function module package section chapter"
 ).split()
+WORDS = tuple(WORDS)
 # What follows a credential's name in a word (to the next pair), a login in an address, a word that ends in a name, and words between a name and its value.
 KEY = rf"(?i)(?:{CREDENTIAL})[\w.-]*+[\"'`\])\\]*+(?:=>|[=:]++)"
 PAIR = KEY + r"""[(\[{<\\]*+(?:"[^"]+"|'[^']+'|`[^`]+`|(?:(?![&;,|][\w.\\\"'\[\]{-]*+[=:])[^\"'`\s])++)"""
@@ -42,7 +47,7 @@ NAMED = rf"(?i)(?:{CREDENTIAL})[\w.-]*+[\"'`\])\\]*+[=:>]*+$"
 BETWEEN = r"(?i)^(?:[=:>-]+|(?:is|was|are|bearer|basic)[=:]*)$"
 ARMOUR = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "runs", "distinct", "hex", "dictionary", "vowel_steps", "slashes", "dots", "credential", "harmless", "assigned", "number_like", "address", "issued", "named", "quoted", "login", "classes", "other_name")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "runs", "distinct", "hex", "dictionary", "vowel_steps", "path", "slashes", "dots", "credential", "harmless", "assigned", "number_like", "address", "issued", "named", "quoted", "login", "classes", "other_name")
 
 
 def candidates(text: Column) -> Column:
@@ -91,14 +96,26 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(rf"(?i)({CREDENTIAL})") | text.rlike(LOGIN), with_names).when(text.rlike("[0-9]"), F.transform(split, lambda words: found(words, plain))[0]).otherwise(nothing())
 
 
-def features(c: Column) -> Column:
-    """The struct of FEATURES of a candidate."""
+def dictionary(rank_file: str, most: int = 5000) -> tuple[str, ...]:
+    """The first words, by rank, of three letters a-z and more that begin with a space in a file of byte-level token ranks."""
+    with open(rank_file, "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+        words = dict.fromkeys(t[1:].decode("ascii").lower() for t in tokens if re.fullmatch(rb" [A-Za-z][a-z]{2,}", t))
+        return tuple(words)[:most]
+
+
+def features(c: Column, words: tuple[str, ...] = WORDS) -> Column:
+    """The struct of FEATURES of a candidate; words is the dictionary that letters of it may be covered by."""
     v = c["value"]
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     runs = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")) / n
     flag = lambda condition: condition.cast("double")
     prior = F.substring_index(c["before"], " ", -1)
+    held = F.lit(" " + " ".join(words) + " ")
+    runs_of_letters = F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))
+    known = F.filter(runs_of_letters, lambda w: F.contains(held, F.concat(F.lit(" "), F.lower(w), F.lit(" "))))
+    covered = F.length(F.array_join(known, ""))
     values = (
         n,
         share("[0-9]"),
@@ -108,8 +125,9 @@ def features(c: Column) -> Column:
         runs,
         F.size(F.array_distinct(F.split(v, ""))) / n,
         flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        1 - F.length(F.regexp_replace(F.lower(v), "|".join(WORDS), "")) / n,
+        covered / n,
         F.regexp_count(F.lower(v), F.lit("[aeiouy][bcdfghjklmnpqrstvwxz]")) / n,
+        flag(v.rlike(r"^(\.{0,2}/|~/|[A-Za-z]:\\)[\w.-]|^[\w.-]+/[\w./-]+$|\.[A-Za-z][A-Za-z0-9]{1,3}$")),
         F.regexp_count(v, F.lit(r"[/\\]")).cast("double"),
         F.regexp_count(v, F.lit(r"\.")).cast("double"),
         flag(F.concat_ws(" ", c["own"], c["before"]).rlike(rf"(?i)({CREDENTIAL})")),
@@ -128,7 +146,7 @@ def features(c: Column) -> Column:
 
 
 @cache
-def labelled_findings(rows: int = 900, seed: int = SEED) -> tuple[tuple[str, int], ...]:
+def labelled_findings(rows: int = 900, seed: int = SEED, words: tuple[str, ...] = WORDS) -> tuple[tuple[str, int], ...]:
     """(text of one finding, label): issued and assigned secrets, and look-alikes such as hashes, paths, codes and numbers."""
     rng = random.Random(seed)
     hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
@@ -136,7 +154,7 @@ def labelled_findings(rows: int = 900, seed: int = SEED) -> tuple[tuple[str, int
     upper = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=n))
     digits = lambda n: "".join(rng.choices("0123456789", k=n))
     invented = lambda: "".join(rng.choices(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti"), k=rng.randint(2, 5)))
-    word = lambda: rng.choice(WORDS) if rng.random() < 0.3 else invented()
+    word = lambda: rng.choice(words) if rng.random() < 0.3 else invented()
     name = lambda: rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "API_KEY", "client_secret", "Password"))
     value = lambda: rng.choice((hexed(rng.randint(12, 64)), mixed(rng.randint(12, 48)), mixed(rng.randint(8, 14)) + rng.choice("!#$%_-"), upper(rng.randint(16, 32)) + digits(2)))
     human = lambda: rng.choice((invented() + digits(rng.randint(1, 3)) + rng.choice("!#$%&@_-.") + rng.choice(("", mixed(1))), invented().title() + rng.choice("0134578") + invented() + rng.choice(("", "&", "!", "$")) + digits(rng.randint(1, 2)), mixed(rng.randint(6, 10)) + digits(1), invented()[:2] + digits(1) + invented() + word().title() + digits(2)))
@@ -259,51 +277,52 @@ def forest_column(forest: list, f: Column) -> Column:
 _forests: dict[tuple, list] = {}
 
 
-def forest(spark: SparkSession, findings: tuple[tuple[str, int], ...] | None = None) -> list:
+def forest(spark: SparkSession, findings: tuple[tuple[str, int], ...] | None = None, words: tuple[str, ...] = WORDS) -> list:
     """A forest trained from labelled findings (bounded, 900 by default); their features come from the same expressions as a scan's."""
-    findings = findings or labelled_findings()
-    if findings not in _forests:
+    findings = findings or labelled_findings(words=words)
+    if (findings, words) not in _forests:
         quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
         rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(t)}, {y})" for t, y in findings) + " AS t(text, label)")
-        found = rows.select("label", F.explode(F.transform(candidates(F.col("text")), features)).alias("f")).collect()
+        found = rows.select("label", F.explode(F.transform(candidates(F.col("text")), lambda c: features(c, words))).alias("f")).collect()
         x = np.array([[r["f"][name] for name in FEATURES] for r in found])
-        _forests[findings] = train_forest(x, np.array([float(r["label"]) for r in found]))
-    return _forests[findings]
+        _forests[findings, words] = train_forest(x, np.array([float(r["label"]) for r in found]))
+    return _forests[findings, words]
 
 
-def judged(spark: SparkSession, findings: tuple[tuple[str, int], ...], cut: float = CUT) -> dict[str, int]:
+def judged(spark: SparkSession, findings: tuple[tuple[str, int], ...], cut: float = CUT, words: tuple[str, ...] = WORDS) -> dict[str, int]:
     """hits, misses, false_alarms and rejected of labelled findings by their text; a secret without a candidate is a miss."""
-    trees = forest(spark)
+    trees = forest(spark, words=words)
     rows = spark.createDataFrame(list(findings), "text string, label int")
-    secret = F.exists(F.transform(candidates(F.col("text")), features), lambda f: forest_column(trees, f) >= cut)
+    secret = F.exists(F.transform(candidates(F.col("text")), lambda c: features(c, words)), lambda f: forest_column(trees, f) >= cut)
     n = {(r["label"], r["secret"]): r["n"] for r in rows.groupBy("label", secret.alias("secret")).agg(F.count("*").alias("n")).collect()}
     return {name: n.get(key, 0) for name, key in (("hits", (1, True)), ("misses", (1, False)), ("false_alarms", (0, True)), ("rejected", (0, False)))}
 
 
-def scan(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """docs with the column __findings: array<struct<at, kind, value, score, is_secret, lead>>; at is the place of its word, from 0, and lead what stands before the value."""
-    trees = forest(docs.sparkSession)
+def scan(docs: DataFrame, text_col: str = "text", cut: float = CUT, words: tuple[str, ...] = WORDS, into: str = "__findings") -> DataFrame:
+    """docs with the column into: array<struct<at, kind, value, score, is_secret, lead>>; at is the place of its word, from 0, and lead what stands before the value."""
+    trees = forest(docs.sparkSession, words=words)
     text = F.coalesce(F.col(text_col), F.lit(""))
     prior = lambda c: F.substring_index(c["before"], " ", -1)
-    found = F.transform(candidates(text), lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), F.when(c["named"], prior(c)).otherwise(c["own"]).alias("lead"), features(c).alias("f")))
+    found = F.transform(candidates(text), lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), F.when(c["named"], prior(c)).otherwise(c["own"]).alias("lead"), features(c, words).alias("f")))
     kind = lambda f: F.when(f["issued"] == 1, "issued").when(f["assigned"] == 1, "assigned").when(f["named"] == 1, "named").otherwise("run")
     scored = F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["value"].alias("value"), c["lead"].alias("lead"), kind(c["f"]).alias("kind"), forest_column(trees, c["f"]).alias("score")))
-    words = F.transform(scored, lambda c: F.struct(c["at"].alias("at"), c["kind"].alias("kind"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= cut).alias("is_secret"), c["lead"].alias("lead")))
+    judged_words = F.transform(scored, lambda c: F.struct(c["at"].alias("at"), c["kind"].alias("kind"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= cut).alias("is_secret"), c["lead"].alias("lead")))
     none = F.expr("cast(array() as array<string>)")
     keys = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.regexp_extract_all(text, F.lit(ARMOUR), F.lit(0))).otherwise(none)
     blocks = F.transform(keys, lambda v: F.struct(F.lit(-1).alias("at"), F.lit("private_key").alias("kind"), v.alias("value"), F.lit(1.0).alias("score"), F.lit(True).alias("is_secret"), F.lit("").alias("lead")))
-    return docs.withColumn("__findings", F.concat(blocks, words))
+    return docs.withColumn(into, F.concat(blocks, judged_words))
 
 
-def redacted(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
+def redacted(docs: DataFrame, text_col: str = "text", cut: float = CUT, words: tuple[str, ...] = WORDS) -> DataFrame:
     """docs, all rows and columns, with every value found to be a secret replaced in its text; longer values go first.
 
     Values of under SHORT characters are replaced only behind what stood before them, as they may be words of the text."""
-    scanned = scan(docs, text_col, cut)
+    into = unused("__findings", docs)
+    scanned = scan(docs, text_col, cut, words, into)
     literal = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     behind = lambda s: F.concat(F.lit("("), literal(s["lead"]), F.lit("[\\s\"'`(\\[{<\\\\=:>]*)"), literal(s["v"]), F.lit("(?![A-Za-z0-9])"))
     mask = lambda t, s: F.when(F.length(s["v"]) < SHORT, F.regexp_replace(t, behind(s), F.lit("$1" + MASK))).otherwise(F.replace(t, s["v"], F.lit(MASK)))
-    secret = F.transform(F.filter("__findings", lambda x: x["is_secret"]), lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("v"), F.when(F.length(x["value"]) < SHORT, x["lead"]).otherwise("").alias("lead")))
+    secret = F.transform(F.filter(into, lambda x: x["is_secret"]), lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("v"), F.when(F.length(x["value"]) < SHORT, x["lead"]).otherwise("").alias("lead")))
     secret = F.array_sort(F.array_distinct(secret))
     clean = F.when(F.size(secret) > 0, F.aggregate(secret, F.col(text_col), mask)).otherwise(F.col(text_col))
     return scanned.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
