@@ -196,6 +196,27 @@ def test_pipeline_stages(spark):
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] == counts[2] and counts[5] == counts[4]
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    long = "One long line of a text that goes on and on in plain words, as any other does. " * 400
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, long, "en", "s", 1), (4, long, None, "s", 2), (5, long, "en", None, 3), (5, "Another text of the same id as the row before it.", "en", "s", 4), (5, long, "en", None, 3)]
+    labels = spark.createDataFrame([(4, 1), (99, None), (None, 0)], "doc_id long, quality int")
+    for name, given in (("some", rows), ("none", [])):
+        df = spark.createDataFrame(given, DOCS).withColumn("__leaf", F.lit("clash")).withColumn("score", F.lit(1))
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, f"{tmp_path}/some")
+        assert out.columns == docs.columns, name
+        if name == "quality":
+            assert out.count() == len(rows)
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 2, 4]
+            assert out.where("__leaf = 'clash'").count() == 4
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_ten_operators_and_the_pipeline_are_registered():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))}

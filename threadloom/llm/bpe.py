@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,8 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 
 MATRIX_BYTES = 256
-#: Cells of a matrix at most, and pieces that a worker remembers at most.
-MATRIX_CELLS, REMEMBERED = 1 << 19, 120_000
+#: Cells of a matrix at most; bytes of pieces and ids that a worker remembers, about; texts and characters that are encoded together at most, but for one text.
+MATRIX_CELLS, REMEMBERED_BYTES = 1 << 19, 32 << 20
+BATCH_TEXTS, BATCH_CHARS = 256, 1 << 21
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -93,21 +95,25 @@ class Codec:
         self.decimal_of = [str(i) for i in range(size)]
         self.split = regex.compile(pattern).findall
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; pieces not yet known are merged together, a matrix for each length bucket."""
-        if len(self.memory) > REMEMBERED:
+        """Ids of each text; pieces not yet known are merged together, a matrix for each length bucket. Long pieces are not remembered."""
+        if self.held > REMEMBERED_BYTES:
             self.memory.clear()
+            self.held = 0
         pieces = [self.split(t) for t in texts]
-        self._learn({p for ps in pieces for p in ps} - self.memory.keys())
-        known = self.memory.__getitem__
+        long = self._learn({p for ps in pieces for p in ps} - self.memory.keys())
+        known = ChainMap(long, self.memory).__getitem__ if long else self.memory.__getitem__
         for ps in pieces:
             yield list(chain.from_iterable(map(known, ps)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Remembers the ids of the pieces, but for those over MATRIX_BYTES, which it returns."""
+        long: dict[str, tuple[int, ...]] = {}
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
@@ -115,7 +121,7 @@ class Codec:
             if whole is not None:
                 self.memory[p] = (whole,)
             elif len(raw) > MATRIX_BYTES:
-                self.memory[p] = tuple(self._merge_long(raw))
+                long[p] = tuple(self._merge_long(raw))
             else:
                 buckets.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
         for width, rows in buckets.items():
@@ -124,6 +130,8 @@ class Codec:
                 part = rows[i : i + step]
                 for (p, _), ids in zip(part, self._merge_matrix([r for _, r in part], width), strict=True):
                     self.memory[p] = ids
+                    self.held += 200 + len(p) + 8 * len(ids)
+        return long
 
     def _merge_matrix(self, rows: list[bytes], width: int) -> list[tuple[int, ...]]:
         lengths = np.array([len(r) for r in rows])
@@ -208,10 +216,17 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _texts(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[list, list[str]]]:
-    for i in range(0, batch.num_rows, step):
-        part = batch.slice(i, step)
-        yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of runs of rows."""
+    begin, texts, n = 0, [], 0
+    for i, t in enumerate(batch.column(1)):
+        texts.append(t.as_py() or "")
+        n += len(texts[-1])
+        if len(texts) == BATCH_TEXTS or n >= BATCH_CHARS:
+            yield batch.column(0).slice(begin, len(texts)), texts
+            begin, texts, n = i + 1, [], 0
+    if texts:
+        yield batch.column(0).slice(begin, len(texts)), texts
 
 
 def encode_documents(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
