@@ -8,6 +8,11 @@ Parquet and read again as the next one's docs. All but the last return the colum
 3. secrets: secrets inside texts are masked; every document stays, and n_chars follows its text.
 4. mixture: documents by target weights, up to two epochs, so a row may occur twice.
 5. tokens: token ids of each row, encoded and decoded, as counts and digests.
+
+Cases: null and empty texts are scored like other texts, have no near duplicates and no secrets, count no tokens and encode to
+none; null lang or source is a leaf of its own; rows without a doc_id stay in every stage but are never near duplicates; of rows
+that share a doc_id the first by text stays; without labels nothing is rejected; an empty table gives no rows; other columns,
+whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -30,7 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    import public_tokenizers
+
+    words = secrets.dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return secrets.redacted(docs, words=words).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
