@@ -40,11 +40,15 @@ T = F.col("t")
         (text.inserted_before(T, "B", "x", "x"), "xBc", "xBc"),
         (text.renumbered(T, 2), "## 1. A\nx\n## 2. B\n", "## 3. A\nx\n## 4. B\n"),
         (text.trim_reply_chain(T), "Hello\nBest regards\nAnn", "Hello"),
-        (text.anonymized(T, ["Bob"]), "Dear Ann, Bob says yes. Thank you so much.\nBest regards\nX", "says yes."),
+        (text.anonymized(T, ["Bob"]), "Dear Ann, thank you for your email. Bob says yes to Mr. Smith Jones.\nBest regards\nX", "says yes to ."),
         (text.rich_text(T), '["a",{"type":"bold","text":"b"}]', "ab"),
         (text.rich_text(T), "plain", "plain"),
-        (text.rule_language(T), "der Hund und die Katze ist nicht", "de"),
-        (text.rule_language(T), "привет мир", "ru"),
+        (text.rule_language(T), "wann kommt der Hund", "de"),
+        (text.rule_language(T), "ein schöner Hund, merci", "de"),
+        (text.rule_language(T), "merci bien", "fr"),
+        (text.rule_language(T), "the dog", "en"),
+        (text.rule_language(T), "привет большой мир", "ru"),
+        (text.rule_language(T), "привет мир", "en"),
         (tokens.normalized_email(T), " A@B.co ", "a@b.co"),
         (tokens.normalized_email(T), "nobody", None),
         (tokens.first_score(T), "score: 85.", 85),

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules as fixed
+from .rules import any_of
+
 REPLY_MARKERS = (
     r"(?im)^\s*-{2,}\s*original message\s*-{2,}",
     r"(?im)^\s*-{2,}\s*forwarded message\s*-{2,}",
@@ -149,26 +152,41 @@ def incoming_text(c: Column) -> Column:
 
 
 def anonymized(c: Column, names: Sequence[str] = ()) -> Column:
-    """An answer without salutation, thanks, sign-off and the given names, on one line."""
-    t = replaced(trim_reply_chain(c), (SALUTATION, ""), (THANKS, ""), (r"(?u)\b(?:Mr|Mrs|Ms|Dr)\.?\s+\p{Lu}\p{L}+", ""))
+    """An answer on one line without reply chain, forwarded mail, sign-off, greeting, thanks, titles with names and the given names."""
+    t = trim_reply_chain(strip_quoted_reply(c))
+    t = cut_before(t, first_of(t, [r"(?i)beginning of forwarded message", any_of(fixed.SIGN_OFF)]))
+    first = lambda pattern: (pattern, "")
+    t = replaced(t, first(r"(?i)\A" + fixed.GREETING.removeprefix("^")), first(r"\A[A-Z][a-z]+,\s+"), first(r"(?i)\bDear\s*,\s*"), first("(?i)" + fixed.THANKS_OPENING), first(fixed.HONORIFIC), first(r"\b(?:Mr\.|Ms\.|Mrs\.|Miss|Dr\.)\s+"))
     if names:
         t = replaced(t, (r"(?iu)\b(?:" + "|".join(names) + r")\b", ""))
-    return flatten(t)
+    ends = r"^[ ,;]+|[ ,;]+$"
+    return replaced(flatten(t), (ends, ""), (r"(?i)\bDear\s*$", ""), (ends, ""))
 
 
 def strip_question_echo(answer: Column, question: Column) -> Column:
-    """The answer without the question at its start and without a list number."""
-    a, q = flatten(answer), flatten(question)
-    rest = F.when((q != "") & F.startswith(F.lower(a), F.lower(q)), F.substring(a, F.length(q) + 1, F.length(a))).otherwise(a)
-    return stripped(replaced(rest, (r"^\s*(?:\d{1,2}[.)]\s+|[-–:]\s*)", "")))
+    """The answer after the question that it repeats at its beginning, if enough is left; else without a list number."""
+    a = text(answer)
+    key = F.substring(F.regexp_replace(F.lower(text(question)), r"\s+", " "), 1, 50)
+    rest = stripped(F.regexp_replace(a, r"(?s)\A.*?\?\s+", ""))
+    echoed = (key != "") & F.contains(F.substring(F.lower(a), 1, 160), key) & a.rlike(r"\?\s") & (F.length(rest) >= 40)
+    return stripped(F.when(echoed, rest).otherwise(F.regexp_replace(a, r"\A\d+\.\s+", "")))
 
 
-def paragraphs(c: Column, least: int = 40, noise: str = r"(?i)unsubscribe|confidential|sent from my") -> Column:
-    """Paragraphs long enough and free of noise; where there are none, sentences."""
-    t = text(c)
-    keep = lambda p: (F.length(p) >= least) & ~p.rlike(noise)
-    found = F.filter(F.transform(F.split(t, r"\n\s*\n"), lambda p: flatten(p)), keep)
-    return F.when(F.size(found) > 0, found).otherwise(F.filter(sentences(t), keep))
+def paragraphs(c: Column, least: int = 40, noise: Sequence[str] = (r"(?i)unsubscribe|confidential|sent from my",), openings: Sequence[str] = ()) -> Column:
+    """Paragraphs long enough, free of noise and without the given openings; sentences where there is but one paragraph."""
+    t = stripped(trim_reply_chain(c))
+
+    def keep(p: Column) -> Column:
+        bad = F.lit(False)
+        for pattern in noise:
+            bad = bad | p.rlike(pattern)
+        for pattern in openings:
+            bad = bad | F.substring(p, 1, 160).rlike(pattern)
+        return (F.length(p) >= least) & ~bad
+
+    parts = F.split(t, r"\n\s*\n+")
+    parts = F.when(F.size(parts) > 1, parts).otherwise(F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"))
+    return F.filter(F.transform(parts, lambda p: flatten(p)), keep)
 
 
 def sentences(c: Column) -> Column:
@@ -313,13 +331,10 @@ def text_chunks(c: Column, size: int = 4096) -> Column:
 
 
 def rule_language(c: Column) -> Column:
-    """ru, de, fr, es or en by script, diacritics and small words."""
-    t = F.lower(text(c))
-    hits = lambda p: F.regexp_count(t, F.lit(p))
-    cyrillic, latin = hits("[а-яё]"), hits("[a-z]")
-    german = hits("[äöüß]") + 2 * hits(r"\b(der|die|das|und|nicht|ist)\b")
-    french = hits("[éèêàçù]") + 2 * hits(r"\b(le|la|les|des|est|une)\b")
-    spanish = hits("[ñóíáú]") + 2 * hits(r"\b(el|los|las|que|una|por)\b")
-    english = 2 * hits(r"\b(the|and|of|is|to|in)\b")
-    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("l")) for i, (n, name) in enumerate(((english, "en"), (german, "de"), (french, "fr"), (spanish, "es")))]))
-    return F.when(cyrillic > latin, "ru").when(best["n"] > 0, best["l"]).otherwise("en")
+    """ru, de, fr or en, by the first rule that holds: Cyrillic words, then diacritics or small words of German, then of French."""
+    t = stripped(text(c))
+    cyrillic, latin = F.regexp_count(t, F.lit("[а-яА-ЯёЁ]{3,}")), F.regexp_count(t, F.lit("[a-zA-Z']{3,}"))
+    # fixed values of the surveyed rule
+    german = t.rlike("[äöüßÄÖÜ]") | t.rlike(r"(?iu)(?<![\p{L}\p{N}_])(?:wie|was|können|kann|warum|wann|über|für|und der|ich habe)(?![\p{L}\p{N}_])")
+    french = t.rlike("[àâçéèêëïîôùûü]") | t.rlike(r"(?iu)(?<![\p{L}\p{N}_])(?:bonjour|merci|comment|combien|pourquoi|est-ce)(?![\p{L}\p{N}_])")
+    return F.when((cyrillic >= 3) & (cyrillic >= latin * 0.4), "ru").when(german, "de").when(french, "fr").otherwise("en")

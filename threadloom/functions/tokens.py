@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import flatten, sentences, text
-
-STOP = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "do", "for", "from", "had", "has", "have", "how", "if", "in", "is", "it", "me", "my", "not", "of", "on", "or", "our", "so", "that", "the", "their", "there", "they", "this", "to", "us", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you", "your")
-GENERIC = ("please", "question", "information", "know", "need", "want", "help", "thanks", "thank", "hello", "regards", "possible", "case", "time")
-
+from . import rules as fixed
+from .rules import GENERIC, STOP, Rules, any_of
+from .text import anonymized, flatten, paragraphs, sentences, strip_question_echo, stripped, text
 
 def _array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
 
 
-def words_of(c: Column, pattern: str = r"[a-zà-ÿ']{3,}") -> Column:
+def words_of(c: Column, pattern: str = r"[a-z']{3,}") -> Column:
     """Words in lower case, in order, repeats kept."""
     return F.regexp_extract_all(F.lower(text(c)), F.lit(pattern), F.lit(0))
 
@@ -38,14 +36,13 @@ def content_word_count(c: Column, stop: Sequence[str] = STOP) -> Column:
     return F.size(kept) + F.regexp_count(F.lower(text(c)), F.lit("[а-яё]{3,}"))
 
 
-def distinctive_words(c: Column, generic: Sequence[str] = GENERIC) -> Column:
-    return F.array_except(content_words(c), _array(generic))
+def distinctive_words(c: Column, generic: Sequence[str] = GENERIC, stop: Sequence[str] = STOP) -> Column:
+    return F.array_except(content_words(c, stop), _array(generic))
 
 
 def clustering_words(c: Column) -> Column:
-    """Distinctive words, or all content words where those are fewer than three."""
-    d = distinctive_words(c)
-    return F.when(F.size(d) >= 3, d).otherwise(content_words(c))
+    """The words that questions are grouped by: the distinctive ones (widening them by all others adds none, as these are generic)."""
+    return distinctive_words(c)
 
 
 def vocabulary_hits(c: Column, vocabulary: Sequence[str]) -> Column:
@@ -71,65 +68,117 @@ def bucket(c: Column, rules: Sequence[tuple[str, str]], default: str = "other")
     return F.coalesce(*[F.when(F.lower(text(c)).rlike(p), F.lit(name)) for name, p in rules], F.lit(default))
 
 
-def question_quality(c: Column, vocabulary: Sequence[str] = ()) -> Column:
-    """A linear score: content words and topic words add, length out of range and generic openings subtract."""
-    t = flatten(c)
-    n = F.length(t)
-    score = F.least(content_word_count(t), F.lit(12)) * 0.5 + F.endswith(t, F.lit("?")).cast("int") * 2.0
-    score = score + (vocabulary_hits(t, vocabulary) * 1.5 if vocabulary else F.lit(0.0))
-    return score - F.when(n < 25, 2.0).when(n > 300, 2.0).otherwise(0.0) - t.rlike(r"(?i)^(could you please|any update|is it ok)").cast("int") * 1.5
+def topic_hits(c: Column, rules: Rules = Rules()) -> Column:
+    """How many topic words a text has."""
+    return F.size(F.array_intersect(F.array_distinct(words_of(c)), _array(rules.topics)))
 
 
-def looks_like_question(c: Column, noise: str = r"(?i)unsubscribe|http|www\.|@", least_words: int = 5, least_score: float = 4.0) -> Column:
-    """Length, ending, noise, words and quality of a question worth keeping."""
-    t = flatten(c)
-    return F.length(t).between(20, 420) & F.endswith(t, F.lit("?")) & ~t.rlike(noise) & ~t.rlike(r"(?i)\b(call|meet|zoom|schedule)\b.*\b(today|tomorrow|monday|friday)\b") & (content_word_count(t) >= least_words) & (question_quality(t) >= least_score)
+def _found(c: Column, patterns: Sequence[str], flags: str = "i") -> Column:
+    return c.rlike(any_of(tuple(patterns), flags))
 
 
-def questions(c: Column) -> Column:
-    return F.filter(sentences(c), lambda s: looks_like_question(s))
+def question_quality(c: Column, rules: Rules = Rules()) -> Column:
+    """Words and topic words, two for length, less for generic questions, templates and few words."""
+    t = stripped(text(c))
+    n, topics = content_word_count(t, rules.stop), topic_hits(t, rules)
+    less = lambda condition, by: F.when(condition, F.lit(float(by))).otherwise(0.0)
+    score = n * 1.5 + topics * 3.0 - less(F.length(t) >= 60, -2)
+    score = score - less(_found(t, fixed.GENERIC_QUESTION), 20) - less(_found(t, fixed.TEMPLATE_QUESTION), 15)
+    return score - less(n < 5, 5) - less((topics == 0) & (n < 8), 8)
 
 
-def relevance(question: Column, answer: Column) -> Column:
-    """Overlap of words times ten, four a distinctive word, less for echoes and questions back."""
-    q, a = content_words(question), content_words(answer)
-    shared = F.size(F.array_intersect(q, a)) / F.greatest(F.size(q), F.lit(1)) * 10
-    special = 4 * F.size(F.array_intersect(distinctive_words(question), a))
-    back = F.endswith(flatten(answer), F.lit("?")).cast("int") * 3
-    return shared + special - back
+def representative_score(c: Column, rules: Rules = Rules()) -> Column:
+    """Quality of a question that stands for others: long ones lose."""
+    n = F.length(text(c))
+    return question_quality(c, rules) - F.when(n > 160, (n - 160) / 15.0).otherwise(0.0) - F.when(n > 280, 15.0).otherwise(0.0)
 
 
-def answer_score(answer: Column, question: Column | None = None, vocabulary: Sequence[str] = ()) -> Column:
-    """Length up to a cap, digits, lists, links and topics; relevance where a question is given."""
-    t = text(answer)
-    score = F.least(F.length(t) / 100, F.lit(18.0)) + t.rlike("[0-9]").cast("int") * 2 + t.rlike(r"(?m)^\s*(\d+[.)]|[-*])\s").cast("int") * 3 + t.rlike("https?://").cast("int")
-    score = score + (vocabulary_hits(t, vocabulary) if vocabulary else 0) - (F.length(t) < 60).cast("int") * 4
-    return score if question is None else score + 1.2 * relevance(question, answer)
+def looks_like_question(c: Column, rules: Rules = Rules(), least_words: int = 5, least_score: float = 4.0) -> Column:
+    """Length, ending, words and quality of a question worth keeping, and none of what rejects it."""
+    t = stripped(text(c))
+    bad = _found(t, (*fixed.REJECTED, *rules.own)) | _found(t, fixed.REJECTED_EXACT, "") | (_found(t, fixed.HEADER_FRAGMENT) & (F.length(t) > 120))
+    for patterns in (fixed.MANAGER_ASKS, fixed.NOISE_QUESTION, fixed.GENERIC_QUESTION, fixed.TEMPLATE_QUESTION, fixed.MANAGER_QUESTION, fixed.SCHEDULING):
+        bad = bad | _found(t, patterns)
+    kept = F.length(t).between(20, 420) & F.endswith(t, F.lit("?")) & ~bad
+    return kept & (content_word_count(t, rules.stop) >= least_words) & (question_quality(t, rules) >= least_score)
 
 
-def has_substance(answer: Column, question: Column, least: int = 50) -> Column:
-    """Not an echo of the question, long enough, and no question itself."""
-    bare = lambda c: F.regexp_replace(F.lower(text(c)), r"(?U)\W+", "")
-    a, q = bare(answer), bare(question)
-    echo = (q != "") & F.contains(q, a)
-    return (F.length(text(answer)) >= least) & ~echo & ~F.endswith(flatten(answer), F.lit("?"))
+def questions(c: Column, rules: Rules = Rules()) -> Column:
+    return F.filter(sentences(c), lambda s: looks_like_question(s, rules))
+
+
+def relevance(question: Column, answer: Column, rules: Rules = Rules()) -> Column:
+    """How much of a question's words an answer has, four a distinctive word, less for templates, noise and invitations to a call."""
+    q, a, t = content_words(question, rules.stop), content_words(answer, rules.stop), text(answer)
+    special = F.array_except(q, _array(rules.generic))
+    both, named = F.size(F.array_intersect(q, a)), F.size(F.array_intersect(special, a))
+    score = both / F.greatest(F.least(F.size(q), F.lit(12)), F.lit(1)) * 10.0 + named * 4.0
+    score = score - F.when((named == 0) & (F.size(special) >= 2), 8.0).otherwise(0.0)
+    topics = lambda c: F.array_intersect(F.array_distinct(words_of(c)), _array(rules.topics))
+    shared_topics = F.size(F.array_intersect(topics(question), topics(answer)))
+    score = score + F.when(both == 0, shared_topics * 4.0).otherwise(0.0)
+    offered = _found(t, rules.package) & ~_found(text(question), fixed.PACKAGE_QUESTION)
+    score = score - F.when(offered, 10.0).otherwise(0.0) - F.when(_noise(t, rules), 15.0).otherwise(0.0)
+    return F.when(F.size(q) == 0, 0.0).otherwise(score - F.when(_found(F.substring(t, 1, 220), fixed.CALL_ONLY), 6.0).otherwise(0.0))
+
 
+def _noise(t: Column, rules: Rules) -> Column:
+    return _found(t, (*fixed.ANSWER_NOISE, *rules.own), "im")
 
-def admissible(answer: Column, question: Column, noise: str = r"(?i)unsubscribe|out of office|auto-?reply") -> Column:
-    """No noise, substance, relevance of three, and distinctive words in common where the question has them."""
-    special = distinctive_words(question)
-    shared = F.size(F.array_intersect(special, content_words(answer)))
-    return ~text(answer).rlike(noise) & has_substance(answer, question) & (relevance(question, answer) >= 3) & (shared >= F.least(F.lit(2), F.size(special)))
 
+def answer_score(answer: Column, question: Column | None = None, rules: Rules = Rules(), raw: Column | None = None) -> Column:
+    """Length up to a cap, digits, lists, links and topics, less for invitations, phrases and noise; half the relevance where a question
+    is given. raw is the text that the answer was taken from. Under 50 characters it is 0."""
+    t, r = text(answer), text(answer if raw is None else raw)
+    plus = lambda condition, by: F.when(condition, F.lit(float(by))).otherwise(0.0)
+    score = F.least(F.length(t), F.lit(1800)) / 100.0 + plus(t.rlike("[0-9]"), 1.5) + plus(t.rlike(r"[-•*]\s"), 2) + plus(t.rlike("(?i)https?://"), 1)
+    score = score + plus(topic_hits(t, rules) >= 2, 2) + plus(F.substring(r, 1, 120).rlike("(?im)" + fixed.GREETING) | F.substring(r, 1, 200).rlike(fixed.HONORIFIC), -1)
+    score = score + plus(_found(F.substring(t, 1, 220), fixed.CALL_ONLY), -5) + plus(_found(F.substring(t, 1, 160), fixed.BOILERPLATE), -3) + plus(_noise(t, rules), -8)
+    return F.when(F.length(t) < 50, 0.0).otherwise(score if question is None else score + 0.5 * relevance(question, t, rules))
 
-def best_paragraph(answer: Column, question: Column, most: int = 1800) -> Column:
-    """The paragraph of the highest score, the first of ties; '' where none is admissible."""
-    from .text import paragraphs, strip_question_echo
 
-    scored = F.transform(paragraphs(answer), lambda p, i: F.struct(answer_score(p, question).alias("s"), (-i).alias("o"), p.alias("p")))
-    best = F.array_max(scored)["p"]
-    kept = strip_question_echo(best, question)
-    return F.when(admissible(kept, question), F.substring(kept, 1, most)).otherwise(F.lit(""))
+def combined_score(answer: Column, question: Column, rules: Rules = Rules(), raw: Column | None = None) -> Column:
+    """The score that answers are compared by."""
+    return answer_score(answer, question, rules, raw) + 1.2 * relevance(question, answer, rules)
+
+
+def has_substance(answer: Column, question: Column, least: int = 50) -> Column:
+    """Long enough without the question's echo, more than the question, and no question itself unless it answers one."""
+    own = strip_question_echo(answer, question)
+    bare = lambda c: stripped(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+    a, q = bare(own), bare(text(question))
+    echo = (a == q) | (F.contains(a, q) & (F.length(a) < F.length(q) + 35))
+    back = F.endswith(own, F.lit("?")) & ~text(answer).rlike("(?i)" + fixed.ASKED_AND_ANSWERED)
+    return (F.length(own) >= least) & ~echo & ~back
+
+
+def admissible(answer: Column, question: Column, rules: Rules = Rules()) -> Column:
+    """No noise, sign-off, greeting or client's voice; substance, relevance of three, and distinctive words in common where the question has them."""
+    t = text(answer)
+    bad = _noise(t, rules) | _found(t, fixed.SIGN_OFF) | F.substring(t, 1, 80).rlike("(?im)" + fixed.GREETING) | t.rlike(r"(?i)^Dear\s") | _found(t, fixed.CLIENT_VOICE)
+    bad = bad | t.rlike(r"Best regards,\s+[A-Z][a-z]+\s+[A-Z][a-z]+$")
+    special = distinctive_words(question, rules.generic, rules.stop)
+    shared = F.size(F.array_intersect(special, content_words(answer, rules.stop)))
+    fits = (F.length(stripped(text(question))) == 0) | ((relevance(question, answer, rules) >= 3) & (shared >= F.least(F.lit(2), F.size(special))))
+    return (F.length(t) >= 50) & ~bad & has_substance(answer, question) & fits
+
+
+def paragraph_score(paragraph: Column, question: Column, rules: Rules = Rules()) -> Column:
+    """The score that paragraphs of one answer are compared by."""
+    shared = F.size(F.array_intersect(signature(question, 10, rules.stop), signature(paragraph, 10, rules.stop)))
+    offered = _found(paragraph, rules.package) & ~_found(text(question), fixed.PACKAGE_QUESTION)
+    score = F.least(F.length(paragraph), F.lit(1200)) / 100.0 + shared * 2.5 + F.when(paragraph.rlike("[0-9]"), 1.0).otherwise(0.0)
+    return score - F.when(_found(F.substring(paragraph, 1, 120), fixed.BOILERPLATE), 3.0).otherwise(0.0) - F.when(offered, 8.0).otherwise(0.0)
+
+
+def best_paragraph(answer: Column, question: Column, most: int = 1800, rules: Rules = Rules()) -> Column:
+    """The paragraph of the highest score without names and greetings, the first of ties; the whole answer where no paragraph is
+    left; '' where that is not admissible."""
+    noise = (any_of((*fixed.ANSWER_NOISE, *rules.own), "im"),)
+    clean = F.filter(F.transform(paragraphs(answer, noise=noise, openings=(any_of(fixed.BOILERPLATE), any_of(fixed.CALL_ONLY))), lambda p: anonymized(p, rules.names)), lambda p: F.length(p) >= 50)
+    scored = F.transform(clean, lambda p, i: F.struct(paragraph_score(p, question, rules).alias("s"), (-i).alias("o"), p.alias("p")))
+    kept = strip_question_echo(F.coalesce(F.array_max(scored)["p"], anonymized(answer, rules.names)), question)
+    return F.when(admissible(kept, question, rules), F.substring(kept, 1, most)).otherwise(F.lit(""))
 
 
 def first_score(c: Column, low: int = 1, high: int = 100) -> Column:

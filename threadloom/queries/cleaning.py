@@ -62,14 +62,14 @@ def sanitize_markdown(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", text.sanitize_markdown(made).alias("clean"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ'']{{3,}}'), lambda x: x NOT IN ({0})))) AS c FROM documents) SELECT doc_id, len(c) AS n, md5(array_to_string(c, ' ')) AS words_md5 FROM w""".format(", ".join(f"'{w}'" for w in tokens.STOP)))
+@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda x: x NOT IN ({0})))) AS c FROM documents) SELECT doc_id, len(c) AS n, md5(array_to_string(c, ' ')) AS words_md5 FROM w""".format(", ".join(f"'{w}'" for w in tokens.STOP)))
 def content_words(t: Tables) -> DataFrame:
     """Distinct words that are no stop words (row N3)."""
     c = tokens.content_words(F.col("text"))
     return t.documents.select("doc_id", F.size(c).cast("long").alias("n"), digest(F.array_join(c, " ")).alias("words_md5"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ'']{{3,}}'), lambda x: x NOT IN ({0}))[1:10])) AS c FROM documents) SELECT doc_id, array_to_string(c, ' ') AS signature FROM w""".format(", ".join(f"'{w}'" for w in tokens.STOP)))
+@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda x: x NOT IN ({0}))[1:10])) AS c FROM documents) SELECT doc_id, array_to_string(c, ' ') AS signature FROM w""".format(", ".join(f"'{w}'" for w in tokens.STOP)))
 def signature_first10(t: Tables) -> DataFrame:
     """The first ten words that are no stop words, as a set (row N4)."""
     return t.documents.select("doc_id", F.array_join(tokens.signature(F.col("text")), " ").alias("signature"))
@@ -91,48 +91,6 @@ def intent_buckets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tokens.bucket(F.col("text"), RULES).alias("bucket"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), '[.] ')) AS s FROM documents)
-SELECT doc_id, count(*) AS sentences, count(*) FILTER (WHERE length(s) BETWEEN 20 AND 420 AND regexp_matches(s, '^[A-Z]')) AS candidates FROM s WHERE length(s) > 0 GROUP BY 1""")
-def question_candidates(t: Tables) -> DataFrame:
-    """Sentences and those that a rule keeps (rows N1, N2, N14, P10)."""
-    parts = F.filter(F.split(F.trim(F.regexp_replace(text.text("text"), "[ \t\n\r\f\x0b]+", " ")), r"\. "), lambda s: F.length(s) > 0)
-    kept = F.filter("s", lambda s: F.length(s).between(20, 420) & s.rlike("^[A-Z]"))
-    return t.documents.select("doc_id", parts.alias("s")).where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(kept).cast("long").alias("candidates"))
-
-
-@query("""SELECT doc_id, least(length(text) / 100.0, 18.0) + CASE WHEN regexp_matches(text, '[0-9]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)^\\s*(\\d+[.)]|[-*])\\s') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, 'https?://') THEN 1 ELSE 0 END - CASE WHEN length(text) < 60 THEN 4 ELSE 0 END AS score FROM documents""")
-def quality_score(t: Tables) -> DataFrame:
-    """A weighted score of an answer (rows N8, N11, N13)."""
-    return t.documents.select("doc_id", tokens.answer_score(F.col("text")).cast("double").alias("score"))
-
-
-@query(f"""WITH a AS (SELECT thread, seq, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS reply FROM (SELECT conv_id AS thread, turn AS seq, role, coalesce(text, '') AS text FROM conversations) WINDOW w AS (PARTITION BY thread ORDER BY seq)),
-q AS (SELECT thread, seq, text, reply, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ'']{{3,}}'), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in tokens.STOP)}))) AS x, list_distinct(list_filter(regexp_extract_all(lower(reply), '[a-zà-ÿ'']{{3,}}'), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in tokens.STOP)}))) AS y FROM a WHERE role = 'user' AND next_role = 'assistant')
-SELECT thread, seq, len(list_intersect(x, y)) AS shared, round(len(list_intersect(x, y)) / greatest(len(x), 1) * 10 + 4 * len(list_intersect(list_filter(x, lambda w: w NOT IN ({", ".join(f"'{w}'" for w in tokens.GENERIC)})), y)) - CASE WHEN ends_with(trim(regexp_replace(reply, '\\s+', ' ', 'g')), '?') THEN 3 ELSE 0 END, 6) AS relevance FROM q""")
-def relevance_overlap(t: Tables) -> DataFrame:
-    """Overlap of a question with the reply that follows (rows N9, N10, U6, U7, U8, P11)."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    a = t.conversations.select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), "role", text.text("text").alias("text"), F.lead("role").over(w).alias("next_role"), F.lead(text.text("text")).over(w).alias("reply"))
-    q = a.where("role = 'user' and next_role = 'assistant'")
-    shared = F.size(F.array_intersect(tokens.content_words(F.col("text")), tokens.content_words(F.col("reply"))))
-    return q.select("thread", "seq", shared.cast("long").alias("shared"), F.round(tokens.relevance(F.col("text"), F.col("reply")), 6).alias("relevance"))
-
-
-_LANG = {"en": ("", r"(the|and|of|is|to|in)"), "de": ("[äöüß]", r"(der|die|das|und|nicht|ist)"), "fr": ("[éèêàçù]", r"(le|la|les|des|est|une)"), "es": ("[ñóíáú]", r"(el|los|las|que|una|por)")}
-
-
-@query("""WITH h AS (SELECT doc_id, lang, length(regexp_replace(lower(text), '[^äöüß]', '', 'g')) AS de, length(regexp_replace(lower(text), '[^éèêàçù]', '', 'g')) AS fr, length(regexp_replace(lower(text), '[^ñóíáú]', '', 'g')) AS es FROM documents)
-SELECT lang, CASE WHEN de + fr + es = 0 THEN 'en' WHEN de >= fr AND de >= es THEN 'de' WHEN fr >= es THEN 'fr' ELSE 'es' END AS guess, count(*) AS n FROM h GROUP BY ALL""")
-def rule_language(t: Tables) -> DataFrame:
-    """Language by diacritics against the given one (rows F15, F16)."""
-    n = lambda p: F.regexp_count(F.lower(text.text("text")), F.lit(p))
-    h = t.documents.select("lang", n("[äöüß]").alias("de"), n("[éèêàçù]").alias("fr"), n("[ñóíáú]").alias("es"))
-    guess = F.when(F.col("de") + F.col("fr") + F.col("es") == 0, "en").when((F.col("de") >= F.col("fr")) & (F.col("de") >= F.col("es")), "de").when(F.col("fr") >= F.col("es"), "fr").otherwise("es")
-    return h.groupBy("lang", guess.alias("guess")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,}')) AS found FROM documents""".replace("list_distinct(", "array_to_string(list_sort(list_distinct(").replace(") AS found", "))  , ' ') AS found"))
 def address_extraction(t: Tables) -> DataFrame:
     """Distinct addresses of a text (rows U11, U12, N26, N27)."""

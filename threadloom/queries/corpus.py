@@ -11,7 +11,7 @@ from .registry import Tables, query
 
 # word sets of whole English texts, without stop words
 _STOP = ", ".join(f"'{w}'" for w in tokens.STOP)
-_ITEMS = f"""items AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ'']{{3,}}'), lambda x: x NOT IN ({_STOP})))) AS w FROM documents WHERE lang = 'en'),
+_ITEMS = f"""items AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda x: x NOT IN ({_STOP})))) AS w FROM documents WHERE lang = 'en'),
 post AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM items),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM post a JOIN post b ON a.t = b.t AND a.doc_id < b.doc_id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY 1, 2),
 pairs AS (SELECT a, b, c / (na + nb - c) AS similarity FROM shared WHERE c / (na + nb - c) >= 0.6)"""
@@ -63,7 +63,7 @@ def known_lines(t: Tables) -> DataFrame:
 
 
 _PAIRS = f"""a AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lead(role) OVER w AS next_role, coalesce(lead(text) OVER w, '') AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-p AS (SELECT conv_id * 100 + turn AS pair_id, text AS question, reply AS answer, length(reply) AS score, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ'']{{3,}}'), lambda x: x NOT IN ({_STOP}))[1:3])), ' ') AS k FROM a WHERE role = 'user' AND next_role = 'assistant')"""
+p AS (SELECT conv_id * 100 + turn AS pair_id, text AS question, reply AS answer, length(reply) AS score, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda x: x NOT IN ({_STOP}))[1:3])), ' ') AS k FROM a WHERE role = 'user' AND next_role = 'assistant')"""
 
 
 @query(f"""WITH {_PAIRS} SELECT k AS root, count(*) AS frequency, md5(arg_max(answer, struct_pack(s := score, f := -pair_id))) AS answer_md5, max(score)::BIGINT AS best_score FROM p GROUP BY 1""")

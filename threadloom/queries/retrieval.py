@@ -52,7 +52,7 @@ def multi_query_merge(t: Tables) -> DataFrame:
     return ranking.merged_queries(found, "vec_id", 12).select("vec_id", "score", "rank")
 
 
-@query(f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ'']{{3,}}')) AS x FROM benchmark), c AS (SELECT item_id, ('0x' || right(md5(x), 2))::INT AS place, count(*) AS n FROM w GROUP BY ALL)
+@query(f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z'']{{3,}}')) AS x FROM benchmark), c AS (SELECT item_id, ('0x' || right(md5(x), 2))::INT AS place, count(*) AS n FROM w GROUP BY ALL)
 SELECT item_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM c""")
 def feature_hash_embed(t: Tables) -> DataFrame:
     """Words hashed into a unit vector of 256 places (rows V3, V1)."""
