@@ -1,9 +1,12 @@
+import hashlib
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import numbers, text, tokens
+from threadloom.operators import ranking
 
 
 def one(spark, column, **values):
@@ -112,10 +115,24 @@ def test_questions_and_answers(spark):
 
 def test_percentiles_and_medians(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 21)], "v double")
-    got = df.agg(numbers.nearest_rank(F.col("v"), 0.9).alias("a"), numbers.floor_rank(F.col("v")).alias("b"), numbers.median_or_zero(F.col("v")).alias("c")).first()
-    assert tuple(got) == (18.0, 19.0, 10.5)
-    none = df.where("v > 99").agg(numbers.nearest_rank(F.col("v"), 0.9).alias("a"), numbers.floor_rank(F.col("v")).alias("b"), numbers.median_or_zero(F.col("v")).alias("c")).first()
-    assert tuple(none) == (None, None, 0.0)
+    picks = {"a": numbers.nearest_rank(0.9), "b": numbers.floor_rank()}
+    assert tuple(ranking.order_statistics(df, [], "v", picks).first()) == (20, 18.0, 19.0)
+    assert df.agg(numbers.median_or_zero(F.col("v")).alias("c")).first().c == 10.5
+    assert ranking.order_statistics(df.where("v > 99"), [], "v", picks).count() == 0
+    assert df.where("v > 99").agg(numbers.median_or_zero(F.col("v")).alias("c")).first().c == 0.0
+
+
+def test_order_statistics_equal_sorted_lists(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 9)), rng.random() * 100, 5.0])) for _ in range(2000)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.n, r.p90, r.p95) for r in ranking.order_statistics(df, ["k"], "v", {"p90": numbers.nearest_rank(0.9), "p95": numbers.floor_rank()}, groups=7).collect()}
+    want = {}
+    for k in ("a", "b", None, "one"):
+        values = sorted(v for key, v in rows if key == k and v is not None)
+        n = len(values)
+        want[k] = (n, values[round(0.9 * (n - 1))], values[max(0, int(0.95 * n) - 1)])
+    assert got == want
 
 
 @pytest.mark.parametrize(("given", "want"), [("Mon, 05 Jan 2026 10:00:00 +0300", "2026-01-05 07:00:00"), ("5 Jan 2026 10:00:00 +0000 (UTC)", "2026-01-05 10:00:00"), ("Mon, 5 Jan 2026 10:00:00", "2026-01-05 10:00:00"), ("soon", None)])
@@ -125,11 +142,17 @@ def test_mail_dates(spark, given, want):
 
 def test_ids_and_vectors(spark):
     assert one(spark, numbers.uuid5(T), t="chunk-1") == str(uuid.uuid5(uuid.NAMESPACE_URL, "chunk-1"))
-    from threadloom.providers import HashingEmbedder
-
-    t = "some words words again"
-    got = one(spark, numbers.hashed_vector(tokens.words_of(T, r"\w+"), 256), t=t)
-    assert got == pytest.approx(HashingEmbedder(256).embed([t])[0])
+    from threadloom.providers import HashingEmbedder, embedded
+
+    for t in ("some words words again", "", None, "Été x x x"):
+        want = [0.0] * 256
+        for w in (t or "").lower().split():
+            want[int(hashlib.md5(w.encode()).hexdigest(), 16) % 256] += 1
+        size = sum(x * x for x in want) ** 0.5 or 1.0
+        want = [x / size for x in want]
+        assert one(spark, numbers.hashed_vector(tokens.words_of(T, r"(?U)\w+"), 256), t=t) == pytest.approx(want)
+        df = spark.createDataFrame([(t,)], "t string")
+        assert embedded(df, "t", HashingEmbedder(256)).first().embedding == pytest.approx(want, abs=1e-6)
     assert one(spark, numbers.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
 
 

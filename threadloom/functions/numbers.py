@@ -8,16 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Aggregate: the sorted value at round-half-even(q (n - 1)); null for none."""
-    ordered = F.array_sort(F.array_agg(values))
-    return F.get(ordered, F.bround(q * (F.size(ordered) - 1)).cast("int"))
+def nearest_rank(q: float):
+    """The place (from 0) of a percentile among n sorted values: round-half-even(q (n - 1)); for ranking.order_statistics."""
+    return lambda n: F.bround(q * (n - 1)).cast("long")
 
 
-def floor_rank(values: Column, q: float = 0.95) -> Column:
-    """Aggregate: the sorted value at max(0, floor(q n) - 1); null for none."""
-    ordered = F.array_sort(F.array_agg(values))
-    return F.get(ordered, F.greatest(F.lit(0), F.floor(q * F.size(ordered)).cast("int") - 1))
+def floor_rank(q: float = 0.95):
+    """The place (from 0) max(0, floor(q n) - 1); for ranking.order_statistics."""
+    return lambda n: F.greatest(F.lit(0), F.floor(q * n) - 1)
 
 
 def median_or_zero(values: Column) -> Column:
@@ -62,6 +60,14 @@ def hashed_vector(words: Column, dim: int = 256) -> Column:
     if 16**digits != dim:
         raise ValueError("dim must be a power of 16")
     places = F.transform(words, lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(digits)), 16, 10).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts)
+
+    def counts(held: Column) -> Column:
+        # a map of the places that occur, looked up once a place
+        distinct = F.array_distinct(held)
+        by_place = F.map_from_arrays(distinct, F.transform(distinct, lambda d: F.size(F.filter(held, lambda p: p == d)).cast("double")))
+        return F.transform(F.array(by_place), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))[0]
+
+    # transforms over one element, so that places and counts are made once
+    counted = F.transform(F.array(places), counts)
+    scaled = F.transform(counted, lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v))[0])
+    return scaled[0]

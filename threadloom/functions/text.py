@@ -6,7 +6,7 @@ empty where they are null, and every builder returns a text, never null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with the expression of c in the plan once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), lambda x: f(x)), 1)
+
+
 def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
     """regexp_replace, pair after pair."""
     for pattern, by in pairs:
@@ -82,13 +87,12 @@ def first_of(c: Column, patterns: Sequence[str], beyond: int = 0) -> Column:
 
 
 def cut_before(c: Column, place: Column) -> Column:
-    return F.when(place.isNull(), c).otherwise(F.substring(c, F.lit(1), place - 1))
+    return bound(place, lambda p: F.when(p.isNull(), c).otherwise(F.substring(c, F.lit(1), p - 1)))
 
 
 def strip_quoted_reply(c: Column, markers: Sequence[str] = REPLY_MARKERS) -> Column:
     """The text before the earliest reply marker and before the first line that is quoted."""
-    t = text(c)
-    return rstripped(cut_before(t, first_of(t, [*markers, r"(?m)^[ \t]*>"])))
+    return bound(text(c), lambda t: rstripped(cut_before(t, first_of(t, [*markers, r"(?m)^[ \t]*>"]))))
 
 
 def quote_start(c: Column, markers: Sequence[str] = REPLY_MARKERS, signature: str = SIGNATURE_MARK, least: int = 20, window: int = 400) -> Column:
@@ -137,8 +141,7 @@ def strip_quote_lines(c: Column) -> Column:
 
 
 def trim_reply_chain(c: Column, mark: str = SIGNATURE_MARK) -> Column:
-    t = text(c)
-    return stripped(cut_before(t, first_of(t, [mark])))
+    return bound(text(c), lambda t: stripped(cut_before(t, first_of(t, [mark]))))
 
 
 def flatten(c: Column, multiline: bool = False) -> Column:
@@ -153,8 +156,8 @@ def incoming_text(c: Column) -> Column:
 
 def anonymized(c: Column, names: Sequence[str] = ()) -> Column:
     """An answer on one line without reply chain, forwarded mail, sign-off, greeting, thanks, titles with names and the given names."""
-    t = trim_reply_chain(strip_quoted_reply(c))
-    t = cut_before(t, first_of(t, [r"(?i)beginning of forwarded message", any_of(fixed.SIGN_OFF)]))
+    ends_with = [r"(?i)beginning of forwarded message", any_of(fixed.SIGN_OFF)]
+    t = bound(trim_reply_chain(strip_quoted_reply(c)), lambda t: cut_before(t, first_of(t, ends_with)))
     first = lambda pattern: (pattern, "")
     t = replaced(t, first(r"(?i)\A" + fixed.GREETING.removeprefix("^")), first(r"\A[A-Z][a-z]+,\s+"), first(r"(?i)\bDear\s*,\s*"), first("(?i)" + fixed.THANKS_OPENING), first(fixed.HONORIFIC), first(r"\b(?:Mr\.|Ms\.|Mrs\.|Miss|Dr\.)\s+"))
     if names:
@@ -165,16 +168,18 @@ def anonymized(c: Column, names: Sequence[str] = ()) -> Column:
 
 def strip_question_echo(answer: Column, question: Column) -> Column:
     """The answer after the question that it repeats at its beginning, if enough is left; else without a list number."""
-    a = text(answer)
     key = F.substring(F.regexp_replace(F.lower(text(question)), r"\s+", " "), 1, 50)
-    rest = stripped(F.regexp_replace(a, r"(?s)\A.*?\?\s+", ""))
-    echoed = (key != "") & F.contains(F.substring(F.lower(a), 1, 160), key) & a.rlike(r"\?\s") & (F.length(rest) >= 40)
-    return stripped(F.when(echoed, rest).otherwise(F.regexp_replace(a, r"\A\d+\.\s+", "")))
+
+    def cut(a: Column) -> Column:
+        rest = stripped(F.regexp_replace(a, r"(?s)\A.*?\?\s+", ""))
+        echoed = (key != "") & F.contains(F.substring(F.lower(a), 1, 160), key) & a.rlike(r"\?\s") & (F.length(rest) >= 40)
+        return stripped(F.when(echoed, rest).otherwise(F.regexp_replace(a, r"\A\d+\.\s+", "")))
+
+    return bound(text(answer), cut)
 
 
 def paragraphs(c: Column, least: int = 40, noise: Sequence[str] = (r"(?i)unsubscribe|confidential|sent from my",), openings: Sequence[str] = ()) -> Column:
     """Paragraphs long enough, free of noise and without the given openings; sentences where there is but one paragraph."""
-    t = stripped(trim_reply_chain(c))
 
     def keep(p: Column) -> Column:
         bad = F.lit(False)
@@ -184,8 +189,11 @@ def paragraphs(c: Column, least: int = 40, noise: Sequence[str] = (r"(?i)unsubsc
             bad = bad | F.substring(p, 1, 160).rlike(pattern)
         return (F.length(p) >= least) & ~bad
 
-    parts = F.split(t, r"\n\s*\n+")
-    parts = F.when(F.size(parts) > 1, parts).otherwise(F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"))
+    def split(t: Column) -> Column:
+        parts = F.split(t, r"\n\s*\n+")
+        return F.when(F.size(parts) > 1, parts).otherwise(F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"))
+
+    parts = bound(stripped(trim_reply_chain(c)), split)
     return F.filter(F.transform(parts, lambda p: flatten(p)), keep)
 
 

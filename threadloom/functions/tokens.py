@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import rules as fixed
 from .rules import GENERIC, STOP, Rules, any_of
-from .text import anonymized, flatten, paragraphs, sentences, strip_question_echo, stripped, text
+from .text import anonymized, bound, flatten, paragraphs, sentences, strip_question_echo, stripped, text
 
 def _array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
@@ -79,12 +79,15 @@ def _found(c: Column, patterns: Sequence[str], flags: str = "i") -> Column:
 
 def question_quality(c: Column, rules: Rules = Rules()) -> Column:
     """Words and topic words, two for length, less for generic questions, templates and few words."""
-    t = stripped(text(c))
-    n, topics = content_word_count(t, rules.stop), topic_hits(t, rules)
     less = lambda condition, by: F.when(condition, F.lit(float(by))).otherwise(0.0)
-    score = n * 1.5 + topics * 3.0 - less(F.length(t) >= 60, -2)
-    score = score - less(_found(t, fixed.GENERIC_QUESTION), 20) - less(_found(t, fixed.TEMPLATE_QUESTION), 15)
-    return score - less(n < 5, 5) - less((topics == 0) & (n < 8), 8)
+
+    def score(x: Column) -> Column:
+        t, n, topics = x["t"], x["n"], x["topics"]
+        plain = n * 1.5 + topics * 3.0 - less(F.length(t) >= 60, -2) - less(_found(t, fixed.GENERIC_QUESTION), 20) - less(_found(t, fixed.TEMPLATE_QUESTION), 15)
+        return plain - less(n < 5, 5) - less((topics == 0) & (n < 8), 8)
+
+    counted = lambda t: F.struct(t.alias("t"), content_word_count(t, rules.stop).alias("n"), topic_hits(t, rules).alias("topics"))
+    return bound(bound(stripped(text(c)), counted), score)
 
 
 def representative_score(c: Column, rules: Rules = Rules()) -> Column:
@@ -95,12 +98,15 @@ def representative_score(c: Column, rules: Rules = Rules()) -> Column:
 
 def looks_like_question(c: Column, rules: Rules = Rules(), least_words: int = 5, least_score: float = 4.0) -> Column:
     """Length, ending, words and quality of a question worth keeping, and none of what rejects it."""
-    t = stripped(text(c))
-    bad = _found(t, (*fixed.REJECTED, *rules.own)) | _found(t, fixed.REJECTED_EXACT, "") | (_found(t, fixed.HEADER_FRAGMENT) & (F.length(t) > 120))
-    for patterns in (fixed.MANAGER_ASKS, fixed.NOISE_QUESTION, fixed.GENERIC_QUESTION, fixed.TEMPLATE_QUESTION, fixed.MANAGER_QUESTION, fixed.SCHEDULING):
-        bad = bad | _found(t, patterns)
-    kept = F.length(t).between(20, 420) & F.endswith(t, F.lit("?")) & ~bad
-    return kept & (content_word_count(t, rules.stop) >= least_words) & (question_quality(t, rules) >= least_score)
+
+    def gate(t: Column) -> Column:
+        bad = _found(t, (*fixed.REJECTED, *rules.own)) | _found(t, fixed.REJECTED_EXACT, "") | (_found(t, fixed.HEADER_FRAGMENT) & (F.length(t) > 120))
+        for patterns in (fixed.MANAGER_ASKS, fixed.NOISE_QUESTION, fixed.GENERIC_QUESTION, fixed.TEMPLATE_QUESTION, fixed.MANAGER_QUESTION, fixed.SCHEDULING):
+            bad = bad | _found(t, patterns)
+        kept = F.length(t).between(20, 420) & F.endswith(t, F.lit("?")) & ~bad
+        return kept & (content_word_count(t, rules.stop) >= least_words) & (question_quality(t, rules) >= least_score)
+
+    return bound(stripped(text(c)), gate)
 
 
 def questions(c: Column, rules: Rules = Rules()) -> Column:
@@ -109,17 +115,23 @@ def questions(c: Column, rules: Rules = Rules()) -> Column:
 
 def relevance(question: Column, answer: Column, rules: Rules = Rules()) -> Column:
     """How much of a question's words an answer has, four a distinctive word, less for templates, noise and invitations to a call."""
-    q, a, t = content_words(question, rules.stop), content_words(answer, rules.stop), text(answer)
-    special = F.array_except(q, _array(rules.generic))
-    both, named = F.size(F.array_intersect(q, a)), F.size(F.array_intersect(special, a))
-    score = both / F.greatest(F.least(F.size(q), F.lit(12)), F.lit(1)) * 10.0 + named * 4.0
-    score = score - F.when((named == 0) & (F.size(special) >= 2), 8.0).otherwise(0.0)
     topics = lambda c: F.array_intersect(F.array_distinct(words_of(c)), _array(rules.topics))
-    shared_topics = F.size(F.array_intersect(topics(question), topics(answer)))
-    score = score + F.when(both == 0, shared_topics * 4.0).otherwise(0.0)
-    offered = _found(t, rules.package) & ~_found(text(question), fixed.PACKAGE_QUESTION)
-    score = score - F.when(offered, 10.0).otherwise(0.0) - F.when(_noise(t, rules), 15.0).otherwise(0.0)
-    return F.when(F.size(q) == 0, 0.0).otherwise(score - F.when(_found(F.substring(t, 1, 220), fixed.CALL_ONLY), 6.0).otherwise(0.0))
+    less = lambda condition, by: F.when(condition, F.lit(float(by))).otherwise(0.0)
+
+    def counted(x: Column) -> Column:
+        q, a = x["q"], content_words(x["t"], rules.stop)
+        special = F.array_except(q, _array(rules.generic))
+        return F.struct(F.size(q).alias("n"), F.size(F.array_intersect(q, a)).alias("both"), F.size(special).alias("special"), F.size(F.array_intersect(special, a)).alias("named"), x["t"].alias("t"), x["ask"].alias("ask"))
+
+    def score(x: Column) -> Column:
+        t = x["t"]
+        plain = x["both"] / F.greatest(F.least(x["n"], F.lit(12)), F.lit(1)) * 10.0 + x["named"] * 4.0 - less((x["named"] == 0) & (x["special"] >= 2), 8)
+        plain = plain + F.when(x["both"] == 0, F.size(F.array_intersect(topics(x["ask"]), topics(t))) * 4.0).otherwise(0.0)
+        offered = _found(t, rules.package) & ~_found(x["ask"], fixed.PACKAGE_QUESTION)
+        return F.when(x["n"] == 0, 0.0).otherwise(plain - less(offered, 10) - less(_noise(t, rules), 15) - less(_found(F.substring(t, 1, 220), fixed.CALL_ONLY), 6))
+
+    given = bound(text(question), lambda ask: F.struct(content_words(ask, rules.stop).alias("q"), ask.alias("ask"), text(answer).alias("t")))
+    return bound(bound(given, counted), score)
 
 
 def _noise(t: Column, rules: Rules) -> Column:
@@ -129,12 +141,16 @@ def _noise(t: Column, rules: Rules) -> Column:
 def answer_score(answer: Column, question: Column | None = None, rules: Rules = Rules(), raw: Column | None = None) -> Column:
     """Length up to a cap, digits, lists, links and topics, less for invitations, phrases and noise; half the relevance where a question
     is given. raw is the text that the answer was taken from. Under 50 characters it is 0."""
-    t, r = text(answer), text(answer if raw is None else raw)
     plus = lambda condition, by: F.when(condition, F.lit(float(by))).otherwise(0.0)
-    score = F.least(F.length(t), F.lit(1800)) / 100.0 + plus(t.rlike("[0-9]"), 1.5) + plus(t.rlike(r"[-•*]\s"), 2) + plus(t.rlike("(?i)https?://"), 1)
-    score = score + plus(topic_hits(t, rules) >= 2, 2) + plus(F.substring(r, 1, 120).rlike("(?im)" + fixed.GREETING) | F.substring(r, 1, 200).rlike(fixed.HONORIFIC), -1)
-    score = score + plus(_found(F.substring(t, 1, 220), fixed.CALL_ONLY), -5) + plus(_found(F.substring(t, 1, 160), fixed.BOILERPLATE), -3) + plus(_noise(t, rules), -8)
-    return F.when(F.length(t) < 50, 0.0).otherwise(score if question is None else score + 0.5 * relevance(question, t, rules))
+
+    def score(t: Column) -> Column:
+        r = t if raw is None else text(raw)
+        plain = F.least(F.length(t), F.lit(1800)) / 100.0 + plus(t.rlike("[0-9]"), 1.5) + plus(t.rlike(r"[-•*]\s"), 2) + plus(t.rlike("(?i)https?://"), 1)
+        plain = plain + plus(topic_hits(t, rules) >= 2, 2) + plus(F.substring(r, 1, 120).rlike("(?im)" + fixed.GREETING) | F.substring(r, 1, 200).rlike(fixed.HONORIFIC), -1)
+        plain = plain + plus(_found(F.substring(t, 1, 220), fixed.CALL_ONLY), -5) + plus(_found(F.substring(t, 1, 160), fixed.BOILERPLATE), -3) + plus(_noise(t, rules), -8)
+        return F.when(F.length(t) < 50, 0.0).otherwise(plain if question is None else plain + 0.5 * relevance(question, t, rules))
+
+    return bound(text(answer), score)
 
 
 def combined_score(answer: Column, question: Column, rules: Rules = Rules(), raw: Column | None = None) -> Column:
@@ -144,23 +160,30 @@ def combined_score(answer: Column, question: Column, rules: Rules = Rules(), raw
 
 def has_substance(answer: Column, question: Column, least: int = 50) -> Column:
     """Long enough without the question's echo, more than the question, and no question itself unless it answers one."""
-    own = strip_question_echo(answer, question)
     bare = lambda c: stripped(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
-    a, q = bare(own), bare(text(question))
-    echo = (a == q) | (F.contains(a, q) & (F.length(a) < F.length(q) + 35))
-    back = F.endswith(own, F.lit("?")) & ~text(answer).rlike("(?i)" + fixed.ASKED_AND_ANSWERED)
-    return (F.length(own) >= least) & ~echo & ~back
+
+    def enough(x: Column) -> Column:
+        own, a, q = x["own"], x["a"], x["q"]
+        echo = (a == q) | (F.contains(a, q) & (F.length(a) < F.length(q) + 35))
+        back = F.endswith(own, F.lit("?")) & ~x["whole"].rlike("(?i)" + fixed.ASKED_AND_ANSWERED)
+        return (F.length(own) >= least) & ~echo & ~back
+
+    given = lambda whole: bound(strip_question_echo(whole, question), lambda own: F.struct(own.alias("own"), bare(own).alias("a"), bare(text(question)).alias("q"), whole.alias("whole")))
+    return bound(bound(text(answer), given), enough)
 
 
 def admissible(answer: Column, question: Column, rules: Rules = Rules()) -> Column:
     """No noise, sign-off, greeting or client's voice; substance, relevance of three, and distinctive words in common where the question has them."""
-    t = text(answer)
-    bad = _noise(t, rules) | _found(t, fixed.SIGN_OFF) | F.substring(t, 1, 80).rlike("(?im)" + fixed.GREETING) | t.rlike(r"(?i)^Dear\s") | _found(t, fixed.CLIENT_VOICE)
-    bad = bad | t.rlike(r"Best regards,\s+[A-Z][a-z]+\s+[A-Z][a-z]+$")
-    special = distinctive_words(question, rules.generic, rules.stop)
-    shared = F.size(F.array_intersect(special, content_words(answer, rules.stop)))
-    fits = (F.length(stripped(text(question))) == 0) | ((relevance(question, answer, rules) >= 3) & (shared >= F.least(F.lit(2), F.size(special))))
-    return (F.length(t) >= 50) & ~bad & has_substance(answer, question) & fits
+
+    def gate(t: Column) -> Column:
+        bad = _noise(t, rules) | _found(t, fixed.SIGN_OFF) | F.substring(t, 1, 80).rlike("(?im)" + fixed.GREETING) | t.rlike(r"(?i)^Dear\s") | _found(t, fixed.CLIENT_VOICE)
+        bad = bad | t.rlike(r"Best regards,\s+[A-Z][a-z]+\s+[A-Z][a-z]+$")
+        special = distinctive_words(question, rules.generic, rules.stop)
+        shared = bound(special, lambda d: F.size(F.array_intersect(d, content_words(t, rules.stop))) >= F.least(F.lit(2), F.size(d)))
+        fits = (F.length(stripped(text(question))) == 0) | ((relevance(question, t, rules) >= 3) & shared)
+        return (F.length(t) >= 50) & ~bad & has_substance(t, question) & fits
+
+    return bound(text(answer), gate)
 
 
 def paragraph_score(paragraph: Column, question: Column, rules: Rules = Rules()) -> Column:
@@ -178,7 +201,7 @@ def best_paragraph(answer: Column, question: Column, most: int = 1800, rules: Ru
     clean = F.filter(F.transform(paragraphs(answer, noise=noise, openings=(any_of(fixed.BOILERPLATE), any_of(fixed.CALL_ONLY))), lambda p: anonymized(p, rules.names)), lambda p: F.length(p) >= 50)
     scored = F.transform(clean, lambda p, i: F.struct(paragraph_score(p, question, rules).alias("s"), (-i).alias("o"), p.alias("p")))
     kept = strip_question_echo(F.coalesce(F.array_max(scored)["p"], anonymized(answer, rules.names)), question)
-    return F.when(admissible(kept, question, rules), F.substring(kept, 1, most)).otherwise(F.lit(""))
+    return bound(kept, lambda k: F.when(admissible(k, question, rules), F.substring(k, 1, most)).otherwise(F.lit("")))
 
 
 def first_score(c: Column, low: int = 1, high: int = 100) -> Column:

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import jaccard
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_threadloom_folder", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark._threadloom_folder = found
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, which ends its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/threadloom-cut/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .ranking import dense_numbers
+from .storage import stored
 
 
 def token_pairs(items: DataFrame, ident: str, tokens: str, least_shared: int = 1) -> DataFrame:
@@ -40,36 +24,53 @@ def token_pairs(items: DataFrame, ident: str, tokens: str, least_shared: int = 1
     return pairs.where(F.col("shared") >= least_shared)
 
 
+def token_classes(items: DataFrame, ident: str, tokens: str) -> DataFrame:
+    """(ident, tokens as sorted hashes, rep): rep is the smallest id of equal token sets; items without tokens are left out."""
+    sets = items.select(F.col(ident), F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("tokens")).where(F.size("tokens") > 0)
+    sets = sets.withColumn("__s", F.xxhash64("tokens"))
+    named = sets.groupBy("__s").agg(F.min(ident).alias("rep"))
+    return stored(sets.join(named, "__s").drop("__s"))
+
+
 def similarity_edges(items: DataFrame, ident: str, tokens: str, threshold: float, common: int = 4) -> DataFrame:
-    """(a, b, similarity) of a < b with Jaccard similarity of at least the threshold.
+    """(a, b, similarity) of a < b: pairs of classes of equal token sets, by their smallest ids, with Jaccard similarity of at least the
+    threshold, and each further member of a class with its smallest id at 1.0. So m copies have m - 1 rows, and no link is lost.
 
-    Only the rarest tokens of each item are indexed: n - ceil(threshold n) + common of them, of which a similar pair shares
+    Only the rarest tokens of each class are indexed: n - ceil(threshold n) + common of them, of which a similar pair shares
     so many (all that it must share, where that is fewer). Frequent tokens then meet nobody, pairs with a rare token or two
-    in common go before any sets are moved, and what is left is verified on whole sets. Tokens are indexed by a hash of 64
-    bits; a collision can only add a pair to verify."""
-    base = items.select(F.col(ident).alias("id"), F.array_distinct(tokens).alias("tokens")).where(F.size("tokens") > 0)
-    post = base.select("id", F.size("tokens").alias("n"), F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("t"))
+    in common go before any sets are moved, and what is left is verified on whole sets. Tokens are hashes of 64 bits."""
+    classes = token_classes(items, ident, tokens)
+    base = stored(classes.where(F.col(ident) == F.col("rep")).select(F.col(ident).alias("id"), "tokens").dropDuplicates(["id"]))
+    post = base.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     counted = post.join(post.groupBy("t").agg(F.count("*").alias("df")), "t")
     must = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
     ranked = counted.withColumns({"k": F.row_number().over(Window.partitionBy("id").orderBy("df", "t")), "must": must})
-    post = ranked.where(F.col("k") <= F.col("n") - F.col("must") + common).select("id", "t", "n", "must")
+    post = stored(ranked.where(F.col("k") <= F.col("n") - F.col("must") + common).select("id", "t", "n", "must"))
     near = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9) & (F.col("a") < F.col("b"))
     pairs = post.select(F.col("id").alias("a"), "n", "must", "t").join(post.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("must").alias("must_b"), "t"), "t").where(near)
     cand = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("must", "must_b", F.lit(common))).alias("least")).where("c >= least").select("a", "b")
     left, right = base.select(F.col("id").alias("a"), F.col("tokens").alias("x")), base.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return cand.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    found = cand.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    copies = classes.where(F.col(ident) != F.col("rep")).select(F.col("rep").alias("a"), F.col(ident).alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    return found.unionByName(copies)
 
 
 def pair_rule(shared: Column, similarity: Column, same_theme: Column, distinctive: Column, threshold: float) -> Column:
-    """The edge rule of questions: similar, or of one theme and nearly so with distinctive words, or five tokens in common."""
+    """The edge rule of questions: similar, or of one theme and nearly so with distinctive words, or five tokens in common.
+    same_theme is false where the theme is the one of no rule."""
     return (similarity >= max(threshold, 0.38)) | (same_theme & (similarity >= 0.32) & (distinctive >= 3)) | (shared >= 5)
 
 
 def cluster_rule(similarity: Column, same_theme: Column, distinctive: Column, threshold: float) -> Column:
-    """The edge rule of clusters."""
+    """The edge rule of clusters; same_theme as in pair_rule."""
     return (similarity >= max(threshold, 0.42)) | (same_theme & (similarity >= 0.34) & (distinctive >= 3))
 
 
+def one_theme(a: Column, b: Column, none: str = "other") -> Column:
+    """Whether two themes are one, and one of a rule."""
+    return (a == b) & (a != none)
+
+
 def components(nodes: DataFrame, edges: DataFrame, ident: str, a: str = "a", b: str = "b") -> DataFrame:
     """(ident, root): root is the smallest id that edges reach. Nodes hook to their smallest neighbour and edges contract, until none is left."""
     live = stored(edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct())
@@ -106,22 +107,34 @@ def majority(df: DataFrame, keys: list[str], value: str, seq: str, out: str) ->
 
 
 def cohesion(members: DataFrame, root: str, ident: str, tokens: str) -> DataFrame:
-    """(root, cohesion): the mean Jaccard similarity of a cluster's pairs, 1.0 for fewer than two; only pairs with a token in common are made."""
+    """(root, cohesion): the mean Jaccard similarity of a cluster's pairs, 1.0 for fewer than two.
+
+    Members of equal tokens are one class with a weight, and only classes with a token in common are compared."""
     size = members.groupBy(root).agg(F.count("*").alias("n"))
-    post = members.select(root, ident, F.size(tokens).alias("m"), F.explode(F.array_distinct(tokens)).alias("t"))
-    a, b = post.select(root, "t", F.col(ident).alias("a"), F.col("m").alias("ma")), post.select(root, "t", F.col(ident).alias("b"), F.col("m").alias("mb"))
-    pairs = a.join(b, [root, "t"]).where("a < b").groupBy(root, "a", "b").agg((F.count("*") / (F.first("ma") + F.first("mb") - F.count("*"))).alias("s"))
-    total = pairs.groupBy(root).agg(F.sum("s").alias("s"))
+    sets = members.select(root, F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("t")).where(F.size("t") > 0)
+    classes = stored(sets.groupBy(root, "t").agg(F.count("*").cast("double").alias("w")).withColumn("c", F.xxhash64("t")))
+    post = classes.select(root, "c", "w", F.size("t").alias("m"), F.explode("t").alias("t"))
+    a, b = post.select(root, "t", F.col("c").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa")), post.select(root, "t", F.col("c").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"))
+    both = F.count("*")
+    pairs = a.join(b, [root, "t"]).where("a < b").groupBy(root, "a", "b").agg((both / (F.first("ma") + F.first("mb") - both) * F.first("wa") * F.first("wb")).alias("s"))
+    equal = classes.select(root, (F.col("w") * (F.col("w") - 1) / 2).alias("s"))
+    total = pairs.select(root, "s").unionByName(equal).groupBy(root).agg(F.sum("s").alias("s"))
     mean = F.coalesce(F.col("s"), F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) / 2)
     return size.join(total, root, "left").select(root, F.when(F.col("n") < 2, 1.0).otherwise(mean).alias("cohesion"))
 
 
 def split_key(root: Column, size: Column, cohesion_: Column, theme: Column, words: Column, most: int = 8, least: float = 0.28) -> Column:
-    """The cluster of a member after a split: large clusters of little cohesion part by theme and two first distinctive words."""
+    """The part that a member would go to: large clusters of little cohesion part by theme and two first distinctive words."""
     part = F.concat_ws("|", root.cast("string"), theme, F.array_join(F.slice(F.array_sort(words), 1, 2), " "))
     return F.when((size > most) & (cohesion_ < least), part).otherwise(root.cast("string"))
 
 
+def split_clusters(members: DataFrame, root: str, key: str, out: str) -> DataFrame:
+    """members with out: key where their cluster has several, else the cluster itself, as a cluster of one part stays whole."""
+    several = members.groupBy(root).agg(F.min(key).alias("__a"), F.max(key).alias("__b")).select(root, (F.col("__a") != F.col("__b")).alias("__several"))
+    return members.join(several, root).withColumn(out, F.when(F.col("__several"), F.col(key)).otherwise(F.col(root).cast("string"))).drop("__several")
+
+
 def routed(clusters: DataFrame, least_frequency: int, rare_score: float, rare_chars: int, quality: Column) -> DataFrame:
     """clusters with route: frequent, rare or review."""
     rare = (F.col("best_score") >= rare_score) & (F.length("best_answer") >= rare_chars)
@@ -134,7 +147,7 @@ def reduced(rows: DataFrame, order: str, size: int, merge: Callable[[DataFrame],
     for _ in range(passes):
         if n <= least:
             break
-        numbered = rows.withColumn("batch", ((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long")) if n <= 100_000 else rows.withColumn("batch", F.pmod(F.xxhash64(order), F.lit(-(-n // size))))
+        numbered = dense_numbers(rows, "batch", order).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
         merged = stored(merge(numbered).drop("batch"))
         m = merged.count()
         rows, done = merged, m > n * (1 - gain)

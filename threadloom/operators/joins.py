@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 Keys = str | Sequence[str]
 
@@ -91,9 +90,9 @@ def distinct_ids(rows: DataFrame, nested: str, field: str) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row of each key; an empty key is no key and must be replaced by the caller."""
-    w = Window.partitionBy("__key").orderBy(*order)
-    return df.withColumn("__key", key).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__key")
+    """The first row of each key, by an aggregate that starts before the shuffle; an empty key is no key and must be replaced by the caller."""
+    first = df.groupBy(key.alias("__key")).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def message_key(message_id: Column, sender: Column, date: Column, body: Column, prefix: int = 120) -> Column:

@@ -28,22 +28,21 @@ def with_exchange(df: DataFrame, thread: str = "thread", seq: str = "seq", role:
 
 
 def folded(df: DataFrame, thread: str = "thread", seq: str = "seq") -> DataFrame:
-    """(thread, seq, role, exchange, side) by an ordered fold: a row of unknown role joins the side that is open.
+    """(thread, seq, role, exchange, side): a row of unknown role joins the side that is open.
 
     After any manager row the open side is the manager's; a client row there begins an exchange. A row of another role
-    counts as the manager's once the exchange has a client row, else as the client's without being one."""
-    rows = df.groupBy(thread).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col("role").alias("role")))).alias("rows"))
-    start = F.expr("named_struct('n', 0, 'client', false, 'manager', false, 'out', cast(array() as array<struct<seq:bigint,role:string,exchange:int,side:string>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        client, manager = x["role"] == CLIENT, x["role"] == MANAGER
-        side = F.when(client, CLIENT).when(manager | acc["client"], MANAGER).otherwise(CLIENT)
-        fresh = (acc["n"] == 0) | (client & acc["manager"])
-        n = acc["n"] + fresh.cast("int")
-        row = F.struct(x["seq"].cast("long").alias("seq"), x["role"].alias("role"), n.alias("exchange"), side.alias("side"))
-        return F.struct(n.alias("n"), (client | (~fresh & acc["client"])).alias("client"), ((side == MANAGER) | (~fresh & acc["manager"])).alias("manager"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return rows.select(thread, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(thread, "x.*")
+    counts as the manager's once the exchange has a client row, else as the client's without being one. So a client row begins an
+    exchange where a row of another role stands between it and the client row before, or, for the first one, where a manager row does."""
+    w = by_thread(thread, seq)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    is_ = lambda role: F.coalesce(F.col("role") == role, F.lit(False))
+    seen = lambda role: F.coalesce(F.max(is_(role)).over(before), F.lit(False))
+    rows = df.select(thread, F.col(seq).cast("long").alias(seq), "role", F.lag(is_(CLIENT)).over(w).alias("__last"), seen(CLIENT).alias("__c"), seen(MANAGER).alias("__m"))
+    begins = F.col("__last").isNull() | (is_(CLIENT) & F.when(F.col("__c"), ~F.col("__last")).otherwise(F.col("__m")))
+    numbered = rows.withColumn("exchange", F.sum(begins.cast("int")).over(w).cast("int"))
+    opened = F.max(is_(CLIENT)).over(Window.partitionBy(thread, "exchange").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    side = F.when(is_(CLIENT), CLIENT).when(is_(MANAGER) | opened, MANAGER).otherwise(CLIENT)
+    return numbered.select(thread, seq, "role", "exchange", side.alias("side"))
 
 
 def exchanges(df: DataFrame, thread: str = "thread", seq: str = "seq", client_first: bool = True) -> DataFrame:
@@ -97,9 +96,11 @@ def next_replies(df: DataFrame, thread: str, seq: str, role: str, value: str, as
 
 def first_reply_after(df: DataFrame, thread: str, ts: str, role: str, asking: str, replying: str) -> DataFrame:
     """(thread, first_ask, first_reply): the first reply not before the first question."""
-    w = Window.partitionBy(thread)
-    first = df.withColumn("__a", F.min(F.when(F.col(role) == asking, F.col(ts))).over(w))
-    return first.groupBy(thread).agg(F.min("__a").alias("first_ask"), F.min(F.when((F.col(role) == replying) & (F.col(ts) >= F.col("__a")), F.col(ts))).alias("first_reply"))
+    asked = df.groupBy(thread).agg(F.min(F.when(F.col(role) == asking, F.col(ts))).alias("first_ask"))
+    named = asked.select(F.col(thread).alias("__t"), "first_ask")
+    replies = df.where(F.col(role) == replying).join(named, F.col(thread).eqNullSafe(F.col("__t"))).where(F.col(ts) >= F.col("first_ask"))
+    first = replies.groupBy(F.col("__t")).agg(F.min(ts).alias("first_reply"))
+    return named.join(first.withColumnRenamed("__t", "__u"), F.col("__t").eqNullSafe(F.col("__u")), "left").select(F.col("__t").alias(thread), "first_ask", "first_reply")
 
 
 def days_to_first(df: DataFrame, thread: str, ts: str, order: list[str], hit: Column) -> DataFrame:

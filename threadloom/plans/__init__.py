@@ -13,6 +13,10 @@ from ..operators import clusters, joins, ranking, threads
 from ..providers import Embedder, FirstSentence, HashingEmbedder, Model, completed, embedded
 
 
+#: Items whose sizes meet in one task of map_reduce.
+RUN = 10_000
+
+
 def knowledge_base(messages: DataFrame, channels: dict[str, str], topics: dict[str, tuple[str, ...]]) -> dict[str, DataFrame]:
     """Totals, channel and topic counts, and the client index of messages (thread, seq, role, text)."""
     low = F.lower(text.text("text"))
@@ -28,15 +32,16 @@ def knowledge_base(messages: DataFrame, channels: dict[str, str], topics: dict[s
 
 
 def map_reduce(items: DataFrame, ident: str, body: str, model: Model | None = None, budget: int = 12_000, least: int = 1, depth: int = 4) -> DataFrame:
-    """(pack, reply): each item is summarised, then packs of summaries under a budget, until a pack is left."""
+    """(pack, reply): each item is summarised, then packs of summaries under a budget, until a pack is left. Packs are runs of
+    items in order; a run of RUN items is packed by one task, and no pack goes beyond it."""
     model = model or FirstSentence()
     notes = completed(items, body, model).select(F.lit(0).alias("g"), F.col(ident).cast("long").alias("k"), F.coalesce("reply", F.lit("")).alias("reply"))
     for _ in range(depth):
-        notes = clusters.stored(notes)
+        notes = clusters.stored(ranking.dense_numbers(notes.drop("g"), "g", "k").withColumn("g", F.floor((F.col("g") - 1) / RUN).cast("int")))
         packs = ranking.greedy_packs(notes.withColumn("size", F.length("reply")), "g", "k", "size", budget)
         joined = notes.join(packs, ["g", "k"]).groupBy("g", "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "reply"))), lambda x: x["reply"]), "\n").alias("prompt"))
-        notes = completed(joined, "prompt", model).select("g", F.col("pack").alias("k"), F.coalesce("reply", F.lit("")).alias("reply"))
-        if packs.agg(F.max("pack")).first()[0] in (None, *range(1, least + 1)):
+        notes = completed(joined, "prompt", model).select("g", (F.col("g") * F.lit(RUN) + F.col("pack")).cast("long").alias("k"), F.coalesce("reply", F.lit("")).alias("reply"))
+        if packs.select("g", "pack").distinct().limit(least + 1).count() <= least:
             break
     return notes.select(F.col("k").alias("pack"), "reply")
 
@@ -46,9 +51,9 @@ def question_pairs(messages: DataFrame, most: int = 4) -> DataFrame:
     replies = threads.next_replies(messages, "thread", "seq", "role", "text", threads.CLIENT, threads.MANAGER, most)
     asked = messages.where(F.col("role") == threads.CLIENT).select("thread", F.col("seq").alias("ask_seq"), F.posexplode(tokens.questions(text.incoming_text(F.col("text")))).alias("k", "question"))
     scored = asked.join(replies, ["thread", "ask_seq"]).withColumn("answer", tokens.best_paragraph(F.col("reply"), F.col("question"))).where("answer <> ''")
-    scored = scored.withColumn("answer_score", tokens.answer_score(F.col("answer"), F.col("question")))
+    scored = scored.withColumn("answer_score", tokens.combined_score(F.col("answer"), F.col("question"), raw=F.col("reply")))
     best = scored.groupBy("thread", "ask_seq", "k", "question").agg(F.max_by("answer", F.struct("answer_score", -F.col("nth"))).alias("answer"), F.max("answer_score").alias("answer_score"))
-    return best.select(F.xxhash64("thread", "ask_seq", "k").alias("pair_id"), "thread", "question", "answer", tokens.question_quality(F.col("question")).alias("question_score"), "answer_score")
+    return best.select(F.xxhash64("thread", "ask_seq", "k").alias("pair_id"), "thread", "question", "answer", tokens.representative_score(F.col("question")).alias("question_score"), "answer_score")
 
 
 def faq(pairs: DataFrame, threshold: float = 0.38, themes: tuple[tuple[str, str], ...] = ()) -> DataFrame:
@@ -62,7 +67,7 @@ def faq(pairs: DataFrame, threshold: float = 0.38, themes: tuple[tuple[str, str]
         side = lambda n: items.select(F.col(ident).alias(n), F.col("theme").alias(f"t{n}"), tokens.distinctive_words(F.col(question)).alias(f"d{n}"))
         both = found.join(side("a"), "a").join(side("b"), "b")
         similarity = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-        return both.where(rule(similarity, (F.col("ta") == F.col("tb")) & (F.col("ta") != "other"), F.size(F.array_intersect("da", "db"))))
+        return both.where(rule(similarity, clusters.one_theme(F.col("ta"), F.col("tb")), F.size(F.array_intersect("da", "db"))))
 
     p = clusters.stored(pairs.withColumns({"signature": tokens.signature(F.col("question")), "theme": theme_of("question"), "language": text.rule_language(F.col("question"))}))
     edges = linked(clusters.token_pairs(p, "pair_id", "signature"), p, "pair_id", "question", lambda s, t, d: clusters.pair_rule(F.col("shared"), s, t, d, threshold))
@@ -73,7 +78,7 @@ def faq(pairs: DataFrame, threshold: float = 0.38, themes: tuple[tuple[str, str]
     shaped = members.join(size, "root").join(clusters.cohesion(large, "root", "pair_id", "signature"), "root", "left")
     # a cluster has one theme, so only the words part it
     part = clusters.split_key(F.col("root"), F.col("n"), F.coalesce("cohesion", F.lit(1.0)), F.lit(""), tokens.distinctive_words(F.col("question")))
-    members = clusters.stored(shaped.withColumn("part", part).drop("n", "cohesion"))
+    members = clusters.stored(clusters.split_clusters(shaped.withColumn("__part", part), "root", "__part", "part").drop("__part", "n", "cohesion"))
 
     whole = members.where(F.col("part") == F.col("root").cast("string")).where("theme <> 'other'")
     named = clusters.majority(whole, ["part"], "theme", "pair_id", "main")

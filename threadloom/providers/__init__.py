@@ -5,7 +5,6 @@ A provider is any picklable object with the method of its protocol; it is called
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 import time
@@ -14,11 +13,16 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import hashed_vector
+from ..functions.tokens import words_of
+
 
 class Embedder(Protocol):
+    """embed() is called with batches of texts; a provider with column() instead gives an expression."""
+
     dim: int
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
@@ -30,19 +34,12 @@ class Model(Protocol):
 
 @dataclass
 class HashingEmbedder:
-    """Words hashed by MD5 into counts of unit length: the same text, the same vector, everywhere."""
+    """Words hashed into counts of unit length, as an expression: the same text, the same vector, everywhere. dim is a power of 16."""
 
     dim: int = 256
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for t in texts:
-            v = [0.0] * self.dim
-            for w in re.findall(r"\w+", (t or "").lower()):
-                v[int(hashlib.md5(w.encode()).hexdigest(), 16) % self.dim] += 1
-            size = sum(x * x for x in v) ** 0.5
-            out.append([x / size for x in v] if size else v)
-        return out
+    def column(self, text: Column) -> Column:
+        return hashed_vector(words_of(text, r"(?U)\w+"), self.dim).cast("array<float>")
 
 
 @dataclass
@@ -97,6 +94,8 @@ def _mapped(df: DataFrame, column: str, out: str, kind: str, call: Callable[[lis
 
 def embedded(df: DataFrame, column: str, embedder: Embedder, out: str = "embedding", batch: int = 16, concurrency: int | None = None) -> DataFrame:
     """df with vectors of a text column, in batches; concurrency bounds how many calls run at once."""
+    if hasattr(embedder, "column"):
+        return df.withColumn(out, embedder.column(F.col(column)))
     df = df.repartition(concurrency) if concurrency else df
     return _mapped(df, column, out, "array<float>", embedder.embed, batch)
 

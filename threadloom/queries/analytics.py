@@ -46,10 +46,10 @@ def mention_counts(t: Tables) -> DataFrame:
     return row.unpivot([], list(CHANNELS), "channel", "n")
 
 
-@query("""SELECT upper(zone) AS zone, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+@mail[0-9]')) AS zone FROM documents) GROUP BY 1""")
+@query("""SELECT upper(zone) AS zone, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z])(the|der|les|los|una)(?:[^a-z]|$)', 1)) AS zone FROM documents) GROUP BY 1""")
 def distinct_mentions(t: Tables) -> DataFrame:
     """Mentions counted once a text (row A4)."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text.text("text")), F.lit(r"[a-z]+@mail[0-9]"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text.text("text")), F.lit(r"(?:^|[^a-z])(the|der|les|los|una)(?:[^a-z]|$)"), F.lit(1)))
     return t.documents.select("doc_id", F.explode(found).alias("zone")).distinct().groupBy(F.upper("zone").alias("zone")).agg(F.count("*").alias("n"))
 
 
@@ -114,10 +114,13 @@ FROM (SELECT l_quantity AS quantity, l_discount AS discount, l_tax AS tax FROM l
 def host_metric_summary(t: Tables) -> DataFrame:
     """Wide metrics to long rows, then n, min, mean, p95, max (rows A26, A27, A28)."""
     from ..functions.numbers import floor_rank
+    from ..operators.ranking import order_statistics
 
     wide = t.lineitem.select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     long = wide.unpivot([], ["quantity", "discount", "tax"], "metric", "v")
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.round(F.avg("v"), 6).alias("mean"), floor_rank(F.col("v")).alias("p95"), F.max("v").alias("most"))
+    ranks = order_statistics(long, ["metric"], "v", {"p95": floor_rank()}).drop("n")
+    plain = long.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"))
+    return plain.join(ranks, "metric", "left").select("metric", "n", "least", "mean", "p95", "most")
 
 
 @query("""PIVOT (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) ON l_linestatus IN ('F', 'O') USING sum(l_quantity) GROUP BY l_returnflag""")

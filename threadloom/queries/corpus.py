@@ -9,21 +9,22 @@ from ..functions import tokens
 from ..operators import clusters
 from .registry import Tables, query
 
-# word sets of whole English texts, without stop words
+# word sets of whole texts, without stop words; equal sets are a class, known by its smallest id
 _STOP = ", ".join(f"'{w}'" for w in tokens.STOP)
-_ITEMS = f"""items AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda x: x NOT IN ({_STOP})))) AS w FROM documents WHERE lang = 'en'),
-post AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM items),
+_ITEMS = f"""items AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda x: x NOT IN ({_STOP})))) AS w FROM documents),
+classes AS (SELECT doc_id, len(w) AS n, w, min(doc_id) OVER (PARTITION BY w) AS rep FROM items WHERE len(w) > 0),
+post AS (SELECT doc_id, n, unnest(w) AS t FROM classes WHERE doc_id = rep),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM post a JOIN post b ON a.t = b.t AND a.doc_id < b.doc_id AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY 1, 2),
-pairs AS (SELECT a, b, c / (na + nb - c) AS similarity FROM shared WHERE c / (na + nb - c) >= 0.6)"""
+pairs AS (SELECT a, b, c / (na + nb - c) AS similarity FROM shared WHERE c / (na + nb - c) >= 0.6 UNION ALL SELECT rep, doc_id, 1.0 FROM classes WHERE doc_id <> rep)"""
 
 
 def items(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", "source", "text", tokens.content_words(F.col("text")).alias("w"))
+    return t.documents.select("doc_id", "source", "text", tokens.content_words(F.col("text")).alias("w"))
 
 
 @query(f"WITH {_ITEMS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def jaccard_pairs(t: Tables) -> DataFrame:
-    """Similar texts by an inverted index on their rarest words (rows J12, J13, C1)."""
+    """Similar texts by an inverted index on their rarest words: pairs of classes of equal word sets, and their members (row J12)."""
     return clusters.similarity_edges(items(t), "doc_id", "w", 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -39,12 +40,13 @@ def cluster_components(t: Tables) -> DataFrame:
 @query(f"""WITH RECURSIVE {_ITEMS}, e AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM items UNION SELECT r.a, e.y FROM reach r JOIN e ON r.b = e.x),
 labelled AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY 1),
-inner_pairs AS (SELECT l.root, p.a, p.b, c / (na + nb - c) AS s FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM post a JOIN post b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2) p JOIN labelled l ON p.a = l.doc_id JOIN labelled m ON p.b = m.doc_id AND l.root = m.root)
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM items),
+inner_pairs AS (SELECT l.root, p.a, p.b, c / (na + nb - c) AS s FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM words a JOIN words b ON a.t = b.t AND a.doc_id < b.doc_id JOIN labelled la ON a.doc_id = la.doc_id JOIN labelled lb ON b.doc_id = lb.doc_id AND la.root = lb.root GROUP BY 1, 2) p JOIN labelled l ON p.a = l.doc_id JOIN labelled m ON p.b = m.doc_id AND l.root = m.root)
 SELECT k.root, k.n AS frequency, round(CASE WHEN k.n < 2 THEN 1.0 ELSE coalesce(s.s, 0) / (k.n * (k.n - 1) / 2) END, 6) AS cohesion, m.source AS main_source
 FROM (SELECT root, count(*) AS n FROM labelled GROUP BY 1) k LEFT JOIN (SELECT root, sum(s) AS s FROM inner_pairs GROUP BY 1) s USING (root)
 JOIN (SELECT root, source FROM (SELECT root, source, count(*) AS n, min(doc_id) AS f FROM labelled JOIN items USING (doc_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, f) = 1) m USING (root) WHERE k.n > 1""")
 def cluster_summary(t: Tables) -> DataFrame:
-    """Size, cohesion and majority source of each cluster (rows A29, A31, W10)."""
+    """Size, cohesion and majority source of each cluster (rows A29, A31)."""
     i = clusters.stored(items(t).select("doc_id", "source", "w"))
     roots = clusters.components(i, clusters.similarity_edges(i, "doc_id", "w", 0.6), "doc_id")
     members = clusters.stored(i.join(roots, "doc_id"))

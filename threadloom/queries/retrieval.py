@@ -9,12 +9,12 @@ from ..functions import numbers, tokens
 from ..operators import ranking
 from .registry import Tables, query
 
-_SCORES = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+_SCORES = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, label, list_cosine_similarity(embedding::DOUBLE[], qv) AS score FROM embeddings, q)"""
 
 
 def queries(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"WITH {_SCORES} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 6")

@@ -81,13 +81,13 @@ def reply_latency(t: Tables) -> DataFrame:
     """Latency of direct replies by account: count, median, mean, nearest-rank p90, share within a day (rows W3, J9, A10-A13)."""
     hours = F.col("latency_s") / 3600
     out = threads.reply_latency(sided(t), "user_id", ["ts", "event_id"], "side", "ts", "in", "out").withColumn("account", F.col("user_id") % 10)
-    return out.groupBy("account").agg(
-        F.count("*").alias("n"),
-        F.round(F.median(hours), 4).alias("median_h"),
-        F.round(F.avg(hours), 4).alias("mean_h"),
-        F.round(numbers.nearest_rank(hours, 0.9), 4).alias("p90_h"),
-        F.bround(100.0 * F.count_if(F.col("latency_s") <= 86400) / F.count("*"), 1).alias("within_day_pct"),
-    )
+    out = out.select("account", "latency_s", hours.alias("hours"))
+    means = out.groupBy("account").agg(F.round(F.avg("hours"), 4).alias("mean_h"), F.bround(100.0 * F.count_if(F.col("latency_s") <= 86400) / F.count("*"), 1).alias("within_day_pct"))
+    middle = lambda up: lambda n: F.floor((n - 1 + up) / 2)
+    ranks = ranking.order_statistics(out, ["account"], "hours", {"low": middle(0), "high": middle(1), "p90": numbers.nearest_rank(0.9)})
+    median = F.round((F.col("low") + F.col("high")) / 2, 4)
+    named = ranks.select(F.col("account").alias("__a"), "n", median.alias("median_h"), F.round("p90", 4).alias("p90_h"))
+    return means.join(named, F.col("account").eqNullSafe(F.col("__a"))).drop("__a")
 
 
 @query(f"""WITH {SIDED}, r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, side, value FROM sided),
@@ -138,13 +138,15 @@ def median_span(t: Tables) -> DataFrame:
 @query("""SELECT event_type, count(*) AS n, min(value) AS least, round(avg(value), 6) AS mean, list_sort(list(value))[greatest(1, floor(0.95 * count(*))::INT)] AS p95, max(value) AS most FROM events GROUP BY 1""")
 def p95_floor_rank(t: Tables) -> DataFrame:
     """Summaries of a metric by group with the floor-rank p95 (rows A26, A28)."""
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), numbers.floor_rank(F.col("value")).alias("p95"), F.max("value").alias("most"))
+    ranks = ranking.order_statistics(t.events, ["event_type"], "value", {"p95": numbers.floor_rank()}).select(F.col("event_type").alias("__e"), "p95")
+    plain = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    return plain.join(ranks, F.col("event_type").eqNullSafe(F.col("__e")), "left").drop("__e")
 
 
 @query("""SELECT user_id, list_sort(list(value))[round_even(0.9 * (count(*) - 1), 0)::INT + 1] AS p90 FROM events GROUP BY 1""")
 def nearest_rank_p90(t: Tables) -> DataFrame:
     """Nearest-rank percentile with round-half-even (row A10)."""
-    return t.events.groupBy("user_id").agg(numbers.nearest_rank(F.col("value"), 0.9).alias("p90"))
+    return ranking.order_statistics(t.events, ["user_id"], "value", {"p90": numbers.nearest_rank(0.9)}).drop("n")
 
 
 @query("""SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (ts IS NULL), ts, event_id) = 1""")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import codecs
 import email
 import email.header
 import email.utils
 from collections.abc import Iterator
-from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.text import html_to_text
 
 
 def decoded_header(value: str | None) -> str:
@@ -29,27 +30,19 @@ def decoded_header(value: str | None) -> str:
     return "".join(out)
 
 
-def body_of(message: email.message.Message, plain_only: bool = False) -> str:
-    """The plain parts of a message, else its HTML as text; attachments are left out."""
-    import re
-
-    plain, rich = [], []
+def bodies_of(message: email.message.Message) -> dict[str, str]:
+    """The text/plain and the text/html parts of a message, each joined; attachments are left out and bytes that can't be read are skipped."""
+    found: dict[str, list[str]] = {"text/plain": [], "text/html": []}
     for part in message.walk():
-        if part.is_multipart() or part.get_content_disposition() == "attachment":
-            continue
         kind = part.get_content_type()
-        if kind not in ("text/plain", "text/html"):
-            continue
-        raw = part.get_payload(decode=True) or b""
-        try:
-            content = raw.decode(part.get_content_charset() or "utf-8", "ignore")
-        except LookupError:
-            content = raw.decode("utf-8", "ignore")
-        (plain if kind == "text/plain" else rich).append(content)
-    if plain or plain_only:
-        return "\n".join(plain).strip()
-    joined = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", "\n".join(rich))
-    return re.sub(r"\n{3,}", "\n\n", unescape(re.sub(r"(?s)<[^>]+>", "", re.sub(r"(?i)<br\s*/?>|</p\s*>", "\n", joined)))).strip()
+        if kind in found and not part.is_multipart() and part.get_content_disposition() != "attachment":
+            charset = part.get_content_charset() or "utf-8"
+            try:
+                codecs.lookup(charset)
+            except LookupError:
+                charset = "utf-8"
+            found[kind].append((part.get_payload(decode=True) or b"").decode(charset, "ignore"))
+    return {kind: "\n".join(parts).strip() for kind, parts in found.items()}
 
 
 def eml_messages(spark: SparkSession, path: str, own_domains: tuple[str, ...], plain_only: bool = False) -> DataFrame:
@@ -60,11 +53,13 @@ def eml_messages(spark: SparkSession, path: str, own_domains: tuple[str, ...], p
             rows = []
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
                 m = email.message_from_bytes(bytes(raw))
-                rows.append((name, *(decoded_header(m.get(h)) for h in ("Subject", "From", "To", "Cc", "Date", "Message-ID")), body_of(m, plain_only)))
-            yield pd.DataFrame(rows, columns=["path", "subject", "from", "to", "cc", "date", "message_id", "text"])
+                rows.append((name, *(decoded_header(m.get(h)) for h in ("Subject", "From", "To", "Cc", "Date", "Message-ID")), *bodies_of(m).values()))
+            yield pd.DataFrame(rows, columns=["path", "subject", "from", "to", "cc", "date", "message_id", "plain", "rich"])
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    parsed = raw.mapInPandas(parse, "path string, subject string, `from` string, `to` string, cc string, date string, message_id string, text string")
+    parsed = raw.mapInPandas(parse, "path string, subject string, `from` string, `to` string, cc string, date string, message_id string, plain string, rich string")
+    body = F.col("plain") if plain_only else F.when(F.col("plain") != "", F.col("plain")).otherwise(html_to_text(F.col("rich"), rich=True))
+    parsed = parsed.withColumn("text", body).drop("plain", "rich")
     own = lambda a: F.lit(False) if not own_domains else F.array_contains(F.array(*[F.lit(d) for d in own_domains]), F.substring_index(a, "@", -1))
     sender, others = tokens.addresses(F.col("from")), tokens.addresses(F.col("to"), F.col("cc"))
     automated = lambda a: a.rlike(r"^(no-?reply|mailer-daemon|postmaster|notifications?|bounce)[^@]*@")

@@ -110,5 +110,8 @@ def markdown_table(df: DataFrame, most: int = 100) -> str:
 
 
 def stats_json(stats: dict[str, DataFrame], most: int = 100) -> str:
-    """Small results by name as one JSON document."""
-    return json.dumps({k: [r.asDict(recursive=True) for r in df.limit(most).collect()] for k, df in stats.items()}, default=str, ensure_ascii=False, indent=2)
+    """Small results by name as one JSON document; more rows than most of any are an error."""
+    rows = {k: df.limit(most + 1).collect() for k, df in stats.items()}
+    if large := [k for k, found in rows.items() if len(found) > most]:
+        raise ValueError(f"more than {most} rows: {', '.join(large)}")
+    return json.dumps({k: [r.asDict(recursive=True) for r in found] for k, found in rows.items()}, default=str, ensure_ascii=False, indent=2)
