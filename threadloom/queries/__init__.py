@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, cleaning, corpus, faq, relational, retrieval, temporal  # noqa: F401  they register their queries
+from . import analytics, cleaning, corpus, faq, files, relational, retrieval, temporal  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

@@ -23,13 +23,6 @@ def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", digest(text.html_to_text(F.col("html"))).alias("text_md5"))
 
 
-@query(r"""SELECT doc_id, length(t) AS kept, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(text, '(?m)^[ \t]*[A-Z][a-z]*[.][^\n]*(\n|\z)', '', 'g') AS t FROM documents)""")
-def strip_quote_lines(t: Tables) -> DataFrame:
-    """Whole lines dropped by how they begin (rows F17, F5)."""
-    kept = F.regexp_replace(text.text("text"), r"(?m)^[ \t]*[A-Z][a-z]*[.][^\n]*(\n|\z)", "")
-    return t.documents.select("doc_id", F.length(kept).alias("kept"), digest(kept).alias("text_md5"))
-
-
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}]+', ' ', 'g'), '\n +', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS text_md5, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS words FROM documents""")
 def squeeze_whitespace(t: Tables) -> DataFrame:
     """White space normalised, words counted (rows F13, F19, N18)."""
