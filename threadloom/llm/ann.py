@@ -49,7 +49,7 @@ class Index:
         span = float((self.high - self.low).max()) + 1.0
         self.lift = np.arange(projections) * 2 * span - self.low
         self.sorted = (by_rank + self.lift[:, None]).ravel()
-        self.order = np.ascontiguousarray(order.T.astype(np.int32)).ravel()
+        self.order = np.ascontiguousarray(order.T).ravel()
         self.begins = np.arange(projections) * len(ids)
         self.floor = max(float(np.median(projected.std(0))) / 16, 1e-12)
         self.least = self.floor
@@ -64,7 +64,7 @@ class Index:
         n, m = len(self.ids), len(self.begins)
         at = query @ self.directions
         need = math.ceil(THRESHOLD * m)
-        counts = np.zeros(n, np.int16)
+        counts = np.zeros(n, np.intp)
         low = high = self._places(at, "left")
         distance = np.full(n, np.inf)
         seen = self.ids == own
@@ -73,9 +73,9 @@ class Index:
         while True:
             half = WIDTH * radius / 2
             a, b = np.minimum(self._places(at - half, "left"), low), np.maximum(self._places(at + half, "right"), high)
-            for i, j in zip(np.concatenate((a, high)).tolist(), np.concatenate((low, b)).tolist(), strict=True):
-                if i < j:
-                    counts[self.order[i:j]] += 1  # an array holds a vector once
+            entered = [self.order[i:j] for i, j in zip(np.concatenate((a, high)).tolist(), np.concatenate((low, b)).tolist(), strict=True) if i < j]
+            if entered:
+                counts += np.bincount(np.concatenate(entered), minlength=n)
             low, high = a, b
             fresh = np.flatnonzero((counts >= need) & ~seen)
             if len(fresh):
