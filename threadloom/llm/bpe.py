@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 MATRIX_BYTES = 256
 #: Cells of a matrix at most; bytes of pieces and ids that a worker remembers, about; texts and characters that are encoded together at most, but for one text.
-MATRIX_CELLS, REMEMBERED_BYTES = 1 << 19, 32 << 20
-BATCH_TEXTS, BATCH_CHARS = 256, 1 << 21
+MATRIX_CELLS, REMEMBERED_BYTES = 1 << 18, 12 << 20
+BATCH_TEXTS, BATCH_CHARS = 256, 1 << 20
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -241,7 +243,7 @@ def encode_documents(df: DataFrame, rank_path: str, pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([keys, ids], names=[id_col, "ids"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return mapped(df.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_documents(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -255,7 +257,7 @@ def decode_documents(df: DataFrame, rank_path: str, pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=[id_col, "bytes"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    return mapped(df.select(id_col, ids_col), run, f"`{id_col}` {kind}, bytes binary")
 
 
 def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,4 +280,4 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

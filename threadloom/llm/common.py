@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +37,29 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/threadloom/{what}-{uuid.uuid4().hex}"
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, after which the worker gives memory that it no longer uses back to the system, as it lives on for other tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema). Where the session has Spark's default of rows an Arrow batch, it gets BATCH_ROWS instead: texts are
+    long, and either side of a worker's pipe holds whole batches outside the heap."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(trimmed(run), schema)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, what)

@@ -25,6 +25,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 WINDOW = 3
 #: Share of the page's typical window sum that a segment must reach, and the share of linked text that makes it a menu.
 SURGE, LINKED = 0.25, 0.5
@@ -294,4 +296,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.select("page_id").schema[0].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return mapped(pages.select("page_id", "url", "html"), run, f"page_id {kind}, url string, text string, n_chars long")

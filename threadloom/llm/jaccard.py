@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import unused, written
+from .common import mapped, unused, written
 
 LADDER, SPLITS = 1.5, 8
 #: Rows of a unit, rows and set elements of a task of units, fan-out and leaf size of a tree.
 UNIT, TASK_ROWS, TASK_ELEMENTS, FAN, LEAF = 256, 2048, 150_000, 4, 16
 #: Rows of a side of a unit of a hot group's open rows.
 APART_UNIT = 2048
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Nodes whose keys a task remembers to have given.
 SEEN = 200_000
 #: Ids of a broadcast at most; beyond, texts are fetched by a shuffled join.
@@ -289,7 +289,7 @@ def document_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
                 bits = pa.array([bitmap_of(s, bits_for(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), nodes, bits], names=["doc_id", "n_shingles", "node", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n_shingles long, node long, bits binary")
 
 
 def block_keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -314,7 +314,7 @@ def block_keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, node long")
+    return mapped(docs.where("doc_id is not null").select("text"), run, "key long, node long")
 
 
 def connected(edges: DataFrame, a: str = "node", b: str = "hub") -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import written
+from .common import mapped, written
 
 UNIT, PAD = 192, b" "
 RATE_STORED, RATE = 12_000, 8_000
@@ -144,7 +144,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) for b in raw], pa.int64()), media], names=[id_col, "n_bytes", "media"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return mapped(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def tensor_table(payload: bytes) -> pa.Table:
@@ -207,7 +207,7 @@ def store_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary")
+    return mapped(df.select(id_col, "n_bytes", "media"), run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary")
 
 
 def digest_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -222,4 +222,4 @@ def digest_media(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kept = written(store_features(df, id_col), "media")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
-    return kept.mapInArrow(run, f"{columns}, feature string")
+    return mapped(kept, run, f"{columns}, feature string")

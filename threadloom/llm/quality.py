@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 FOLDS, CUT, SEED = 5, 0.3, 7
 #: Documents of the fit at most: positives, and as many unlabelled ones.
 SAMPLE_ROWS = 6000
@@ -168,7 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             rows = [[float(v) for v in statistics(t or "")] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "side", "x"])
 
-    held = texts.mapInArrow(run, f"doc_id {kind}, side int, x array<double>").groupBy("doc_id", "side").agg(F.min("x").alias("x"))
+    held = mapped(texts, run, f"doc_id {kind}, side int, x array<double>").groupBy("doc_id", "side").agg(F.min("x").alias("x"))
     rows = [(r["side"], r["x"]) for r in held.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     sides = [np.array([x for s, x in rows if s == side]) for side in (1, 0)]
     if not len(sides[0]) or not len(sides[1]):
@@ -189,7 +191,7 @@ def score_documents(documents: DataFrame, model: Model, cut: float = CUT) -> Dat
 
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
     rows = documents.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_predicted(documents: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -204,4 +206,4 @@ def keep_predicted(documents: DataFrame, model: Model, cut: float = CUT) -> Data
                 x = np.array([statistics(t or "") for t in part.column(at).to_pylist()], np.float64)
                 yield part.filter(pa.array(np.round(model.scores(x), 6) >= cut))
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)

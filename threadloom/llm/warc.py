@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, mapped, written
 
 ROLL_BYTES = 256 << 20
 READ_BYTES = 1 << 20
@@ -86,7 +86,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
 
-    return pages.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "path string, records long")
+    return mapped(pages.select("page_id", "url", "payload", "payload_digest", "refers_to"), run, "path string, records long")
 
 
 def members(stream, size: int = READ_BYTES) -> Iterator[bytes]:
@@ -147,7 +147,7 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return paths.select("path").mapInArrow(run, RECORDS)
+    return mapped(paths.select("path"), run, RECORDS)
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
