@@ -97,11 +97,11 @@ class Codec:
         self.decimal_of = [str(i) for i in range(size)]
         self.split = regex.compile(pattern).findall
         self.memory: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.held, self.most = 0, REMEMBERED_BYTES
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; pieces not yet known are merged together, a matrix for each length bucket. Long pieces are not remembered."""
-        if self.held > REMEMBERED_BYTES:
+        if self.held > self.most:
             self.memory.clear()
             self.held = 0
         pieces = [self.split(t) for t in texts]
@@ -260,7 +260,7 @@ def decode_documents(df: DataFrame, rank_path: str, pattern: str, id_col: str =
     return mapped(df.select(id_col, ids_col), run, f"`{id_col}` {kind}, bytes binary")
 
 
-def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids again and digests both, in one pass.
 
     The ids of a text stay in the worker, so that a corpus is checked without moving or storing its ids.
@@ -269,6 +269,7 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shipped.value, pattern)
+        own.most = remembered
         decimal = own.decimal_of.__getitem__
         for batch in batches:
             for keys, texts in _texts(batch):
