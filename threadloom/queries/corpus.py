@@ -33,8 +33,8 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM items UNION SELECT r.a, e.y FROM
 SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY 1""")
 def cluster_components(t: Tables) -> DataFrame:
     """Connected components of the similar texts (rows C4, C5)."""
-    i = clusters.stored(items(t).select("doc_id", "w"))
-    return clusters.components(i, clusters.similarity_edges(i, "doc_id", "w", 0.6), "doc_id")
+    sets = clusters.token_sets(items(t), "doc_id", "w")
+    return clusters.components(sets, clusters.set_edges(sets, "doc_id", 0.6), "doc_id")
 
 
 @query(f"""WITH RECURSIVE {_ITEMS}, e AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
