@@ -47,13 +47,12 @@ FROM (SELECT root, count(*) AS n FROM labelled GROUP BY 1) k LEFT JOIN (SELECT r
 JOIN (SELECT root, source FROM (SELECT root, source, count(*) AS n, min(doc_id) AS f FROM labelled JOIN items USING (doc_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, f) = 1) m USING (root) WHERE k.n > 1""")
 def cluster_summary(t: Tables) -> DataFrame:
     """Size, cohesion and majority source of each cluster (rows A29, A31)."""
-    i = clusters.stored(items(t).select("doc_id", "source", "w"))
-    roots = clusters.components(i, clusters.similarity_edges(i, "doc_id", "w", 0.6), "doc_id")
-    members = clusters.stored(i.join(roots, "doc_id"))
-    size = members.groupBy("root").agg(F.count("*").alias("frequency")).where("frequency > 1")
+    sets = clusters.token_sets(items(t), "doc_id", "w", "source")
+    roots = clusters.stored(clusters.components(sets, clusters.set_edges(sets, "doc_id", 0.6), "doc_id"))
+    size = clusters.stored(roots.groupBy("root").agg(F.count("*").alias("frequency")).where("frequency > 1"))
+    members = sets.join(clusters.few(clusters.stored(roots.join(size, "root", "left_semi"))), "doc_id")
     main = clusters.majority(members, ["root"], "source", "doc_id", "main_source")
-    members = members.join(size, "root", "left_semi")
-    return size.join(clusters.cohesion(members, "root", "doc_id", "w"), "root").join(main, "root").select("root", "frequency", F.round("cohesion", 6).alias("cohesion"), "main_source")
+    return size.join(clusters.set_cohesion(members, "root", "doc_id"), "root").join(main, "root").select("root", "frequency", F.round("cohesion", 6).alias("cohesion"), "main_source")
 
 
 @query("""WITH lines AS (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS x FROM documents), b AS (SELECT item_id, lower(unnest(string_split(text, chr(10)))) AS x FROM benchmark)
