@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import clusters, joins, ranking, setjoin, threads
+from threadloom.operators import clusters, joins, linkcounts, ranking, setjoin, threads
 
 CASES = {"CCMM": 1, "CMCM": 2, "MC": 2, "CMMCC": 2, "UC": 1, "UUC": 2, "CUC": 2, "MUC": 2}
 ROLE = {"C": "client", "M": "manager", "U": "unknown"}
@@ -195,6 +195,25 @@ def test_pair_rules(spark):
     assert [(r.e, r.c) for r in got] == [(True, False), (True, False), (True, False), (False, False)]
 
 
+def test_links_are_counted_without_a_row_a_pair(spark, monkeypatch):
+    from threadloom.queries.files import link_rules
+
+    monkeypatch.setattr(linkcounts, "CHUNK", 100)
+    rng = random.Random(8)
+    items = [(i, rng.randrange(1, 4), rng.randrange(3), rng.sample(range(40), rng.randrange(0, 9)), rng.sample(range(12), rng.randrange(0, 8))) for i in range(350)]
+    df = spark.createDataFrame(items, "class_id long, w long, theme long, s array<long>, d array<long>")
+    got, shuffled = moved(spark, lambda: {r.class_id: (r.first, r.second) for r in linkcounts.counted(df, link_rules).collect()})
+
+    def rules(x, y):
+        c = len(set(x[3]) & set(y[3]))
+        j = c / (len(x[3]) + len(y[3]) - c) if c else 0.0
+        same = x[2] == y[2] != 0 and len(set(x[4]) & set(y[4])) >= 3
+        return c > 0 and (j >= 0.38 or c >= 5 or (same and j >= 0.32)), c > 0 and (j >= 0.42 or (same and j >= 0.34))
+
+    want = {x[0]: tuple(sum(r[k] * (y[1] - (x is y)) for y, r in met) for k in (0, 1)) for x in items for met in [[(y, rules(x, y)) for y in items]]}
+    assert got == want and shuffled < 200_000
+
+
 def test_split_keys(spark):
     df = spark.createDataFrame([(1, 9, 0.1, "a", ["y", "x", "z"]), (1, 8, 0.1, "a", ["x"]), (1, 9, 0.5, "a", ["x"])], "root int, n int, c double, theme string, w array<string>")
     assert [r.k for r in df.select(clusters.split_key(F.col("root"), F.col("n"), F.col("c"), F.col("theme"), F.col("w")).alias("k")).collect()] == ["1|a|x y", "1", "1"]
